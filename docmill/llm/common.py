@@ -28,14 +28,15 @@ def as_text(value) -> str:
     return value if isinstance(value, str) else ""
 
 
-def slices(frames: Iterator[pd.DataFrame], text: str, chars: int) -> Iterator[tuple[pd.DataFrame, list[str]]]:
-    """Consecutive rows of some ``chars`` characters (one row at least), with their texts; null is the empty text."""
+def slices(frames: Iterator[pd.DataFrame], text: str, chars: int, rows: int = 512) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+    """Consecutive rows of some ``chars`` characters (one row at least, ``rows`` at most), with their texts; null is the
+    empty text. All rows come out in the end: the bounds only keep arrays small."""
     for frame in frames:
         texts = [as_text(x) for x in frame[text].tolist()]
         ends = np.cumsum([len(x) for x in texts])
         at = 0
         while at < len(texts):
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + chars, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + chars, side="right"))))
             yield frame.iloc[at:to], texts[at:to]
             at = to

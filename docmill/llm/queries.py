@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docmill.llm import mixing, pii, secret_scan
+from docmill.llm import language_id, mixing, pii, secret_scan, simhash
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op9_simhash": simhash.op9_simhash,
     "op10_personal_data": pii.op10_personal_data,
 }
 ORACLES = {
