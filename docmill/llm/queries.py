@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docmill.llm import language_id, mixing, pii, secret_scan, simhash
+from docmill.llm import language_id, mixing, pii, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op9_simhash": simhash.op9_simhash,
