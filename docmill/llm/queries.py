@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docmill.llm import language_id, mixing, pii, secret_scan, simhash, toxicity
+from docmill.llm import decontamination, language_id, mixing, pii, secret_scan, simhash, toxicity, vector_search
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_nearest": vector_search.op8_nearest,
     "op9_simhash": simhash.op9_simhash,
     "op10_personal_data": pii.op10_personal_data,
 }
