@@ -3,17 +3,19 @@
 Units of a text are its lines, its paragraphs (between blank lines) and the whole of it, in lower case with anything
 but ASCII letters and digits as blanks. The Dice coefficient of two sets of bigrams can reach a threshold t only if
 their sizes differ by a factor of (2 - t) / t at most, so each template is looked for only among units of such sizes:
-units that fit no template's bounds are gone before any bigram is made, and the rest meet templates by an equi-join on
-the size. Everything is built-in expressions.
+units that fit no template's bounds are gone, by their number of words, before any bigram is made, and the rest meet
+templates by an equi-join on the size. Everything is built-in expressions.
 
-Defined cases: null is the empty text, without units; texts without a match give no row; every row of the input is
-scanned, repeated rows give repeated results; units of fewer than two words match nothing; other columns of the input
-are not looked at.
+Repeated bigrams of a unit count as often as they come, so that its size is its number of words less one.
+
+Defined cases: null is the empty text, without matches; ids without a match give no row; rows with one id (or with
+none) are taken together; units of fewer than two words match nothing; other columns of the input are not looked at;
+whole texts are scanned.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,37 +47,81 @@ TEMPLATES = {
 }
 
 
-def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+#: Fits the words of a unit.
+WORDS = "[A-Za-z0-9]+"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, even where lambdas below refer to it for each of their elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def tagged_bigrams(text: Column) -> Column:
+    """Neighbouring words of a text, each with how often it has come so far, so that array functions respect repeats."""
+    words = F.split(F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
+    pairs = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.concat_ws(" ", F.slice(w, i, 2))))
+    count = lambda ps, p, i: F.size(F.filter(F.slice(ps, 1, i), lambda x: x == p))
+    tagged = let(pairs, lambda ps: F.transform(ps, lambda p, i: F.concat_ws("#", p, count(ps, p, i + 1).cast("string"))))
+    return let(tagged, lambda t: F.slice(t, 1, F.size(t) - 1))  # the last word has no neighbour
 
-def bigrams(words: Column) -> Column:
-    """Distinct neighbours in an array of words."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
 
+def size_bounds(n: Column, least: float) -> tuple[Column, Column]:
+    """Numbers of bigrams with which a unit can reach ``least`` against a template of ``n``."""
+    return F.ceil(n * (least / (2 - least)) - 1e-9).cast("int"), F.floor(n * ((2 - least) / least) + 1e-9).cast("int")
 
-def sizes_for(n: int, least: float) -> tuple[int, int]:
-    """Numbers of bigrams with which a unit can match a template of ``n``."""
-    return math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
+
+def text_units(text: Column) -> Column:
+    """Lines, paragraphs of several lines, and the whole text if it has several lines."""
+    several = lambda u: F.contains(u, F.lit("\n"))
+    return F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t\r]*\n"), several), F.filter(F.array(text), several))
 
 
 def license_hits(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(doc_id, license, dice, hits) for each row of ``docs`` and each licence in it: the best Dice, the matching units."""
+    """(doc_id, license, dice, units) for each id of ``docs`` and each licence in its texts: the best Dice coefficient
+    and the number of matches of units with the licence's templates."""
     spark = docs.sparkSession
     known = spark.createDataFrame([(name, t) for name, ts in templates.items() for t in ts], "license string, template string")
-    known = known.select("license", bigrams(F.split(normal(F.col("template")), " ")).alias("wanted"))
-    n = F.size("wanted")
-    low, high = F.ceil(n * (least / (2 - least)) - 1e-9), F.floor(n * ((2 - least) / least) + 1e-9)
-    known = known.filter(n > 0).withColumn("n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))  # some sizes for each template
-    most = max((len(t.split()) * 2 for ts in templates.values() for t in ts), default=0)
-    text = F.coalesce("text", F.lit(""))
-    # a unit of more characters or words than any template allows is left out before it is cut into words
-    # a unit longer than any template allows (in words; repeated bigrams count once, hence the word bound is on
-    # distinct bigrams only after cutting) is still cut, but only units that can match reach the join
-    units = F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
-    units = F.when(F.contains(F.rtrim(text), F.lit("\n")), F.concat(units, F.array(text))).otherwise(units)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(units).alias("unit"))
-    raise NotImplementedError
-
-
+    known = known.select("license", tagged_bigrams(F.col("template")).alias("wanted"))
+    known = known.withColumn("n_wanted", F.size("wanted")).filter("n_wanted > 0")
+    low, high = size_bounds(F.col("n_wanted"), least)
+    bounds = known.agg(F.min(low), F.max(high)).first()
+    known = known.withColumn("n", F.explode(F.sequence(low, high)))  # a few dozen sizes for each template of a fixed list
+    fits = lambda u: let(F.regexp_count(u, F.lit(WORDS)), lambda n: n.between((bounds[0] or 1) + 1, (bounds[1] or 0) + 1))
+    units = docs.select("doc_id", F.explode(F.filter(text_units(F.coalesce("text", F.lit(""))), fits)).alias("unit"))
+    cut = units.select("doc_id", tagged_bigrams(F.col("unit")).alias("held")).withColumn("n", F.size("held"))
+    met = cut.join(F.broadcast(known), "n")
+    dice = 2 * F.size(F.array_intersect("held", "wanted")) / (F.col("n") + F.col("n_wanted"))
+    hits = met.select("doc_id", "license", dice.alias("dice")).filter(F.col("dice") >= least)
+    return hits.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("units"))
+
+
+def op5_license_scan(spark, sf_dir: str) -> DataFrame:
+    return license_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TAGGED = """list_transform(pairs, lambda b, i: b || '#' || len(list_filter(pairs[1:i], lambda x: x = b)))"""
+_PAIRS = """list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])"""
+_WORDS = """string_split(lower(trim(regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"""
+LICENSE_SQL = f"""
+WITH templates(license, template) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, ts in TEMPLATES.items() for t in ts)}),
+tw AS (SELECT license, {_WORDS.format(text="template")} AS words FROM templates),
+tp AS (SELECT license, {_PAIRS} AS pairs FROM tw),
+tt AS (SELECT license, {_TAGGED} AS wanted FROM tp),
+units AS (
+  SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
+    list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda u: contains(u, chr(10))),
+    CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS unit
+  FROM documents WHERE text IS NOT NULL),
+fit AS (SELECT doc_id, unit FROM units WHERE len(regexp_extract_all(unit, '{WORDS}')) BETWEEN 2 AND 400),
+uw AS (SELECT doc_id, {_WORDS.format(text="unit")} AS words FROM fit),
+up AS (SELECT doc_id, {_PAIRS} AS pairs FROM uw),
+ut AS (SELECT doc_id, {_TAGGED} AS held FROM up),
+hits AS (
+  SELECT doc_id, license, 2 * len(list_intersect(held, wanted)) / (len(held) + len(wanted))::DOUBLE AS dice
+  FROM ut JOIN tt ON len(held) BETWEEN ceil(len(wanted) * {LEAST / (2 - LEAST)} - 1e-9) AND floor(len(wanted) * {(2 - LEAST) / LEAST} + 1e-9))
+SELECT doc_id, license, max(dice) AS dice, count(*) AS units FROM hits WHERE dice >= {LEAST} GROUP BY doc_id, license
+"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docmill.llm import decontamination, language_id, mixing, pii, secret_scan, simhash, toxicity, vector_search
+from docmill.llm import decontamination, language_id, licenses, mixing, pii, secret_scan, simhash, toxicity, vector_search
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_nearest": vector_search.op8_nearest,
@@ -16,4 +17,5 @@ QUERIES = {
 }
 ORACLES = {
     "op4_mix_sources": mixing.MIX_SQL.format(rows="documents"),
+    "op5_license_scan": licenses.LICENSE_SQL,
 }
