@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from docmill.llm import decontamination, language_id, licenses, mixing, pii, secret_scan, simhash, toxicity, vector_search
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_nearest": vector_search.op8_nearest,
     "op9_simhash": simhash.op9_simhash,
     "op10_personal_data": pii.op10_personal_data,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_mix_sources": mixing.MIX_SQL.format(rows="documents"),

@@ -111,6 +111,24 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
 
 
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with every secret in a text replaced by a mark, and ``n_chars`` brought up to date; the other columns,
+    and texts without secrets, as they are."""
+
+    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f.copy()
+            texts = f["text"].tolist()
+            new = [redact(t, spans) if (spans := find_secrets(as_text(t))) else t for t in texts]
+            f["text"] = pd.Series(new, index=f.index, dtype=object)
+            if "n_chars" in f:
+                f["n_chars"] = [n if a is b else len(b) for n, a, b in zip(f["n_chars"].tolist(), texts, new)]
+                f["n_chars"] = f["n_chars"].astype("Int64")
+            yield f
+
+    return docs.mapInPandas(clean, docs.schema)
+
+
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

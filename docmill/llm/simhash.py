@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import slices
@@ -187,7 +187,8 @@ def turned_back(value: np.ndarray, block: np.ndarray, part: np.ndarray) -> np.nd
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id of its near-duplicates."""
+    """(doc_id, fp, root, component_id) for each row of ``docs``; root is the smallest fingerprint of its component,
+    component_id the smallest id of it."""
     rows = checkpointed(fingerprints(docs))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = fingerprint_links(nodes.select("fp"), budget, crowded)
@@ -195,8 +196,26 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, crowded: int = CROWDE
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = checkpointed(nodes)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row of each component of near-duplicates, the one with the smallest id, with all its columns; of repeated
+    rows the first by text hash, then by the other columns' hash."""
+    found = near_duplicates(docs, budget)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_first"))
+    names = docs.columns
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, texts in slices(frames, "text", 1_000_000):
+            yield rows.assign(_fp=fingerprints_of(texts).view(np.int64))[[*names, "_fp"]]
+
+    marked = docs.mapInPandas(hashed, docs.select(*names, F.lit(0).cast("long").alias("_fp")).schema)
+    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["_id"]) & (marked["_fp"] == first["_first"]), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text"), F.xxhash64(*names)))
+    return kept.withColumn("_place", place).filter("_place = 1").select(*names)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
