@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -40,3 +42,12 @@ def slices(frames: Iterator[pd.DataFrame], text: str, chars: int, rows: int = 51
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + chars, side="right"))))
             yield frame.iloc[at:to], texts[at:to]
             at = to
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder that the cluster names in ``spark.checkpoint.dir``, read back."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmill-")
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docmill.llm import decontamination, language_id, licenses, mixing, pii, secret_scan, simhash, toxicity, vector_search
+from docmill.llm import decontamination, language_id, licenses, lm_scoring, mixing, pii, secret_scan, simhash, toxicity, vector_search
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_language_id": language_id.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
