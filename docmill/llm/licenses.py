@@ -4,7 +4,8 @@ Units of a text are its lines, its paragraphs (between blank lines) and the whol
 but ASCII letters and digits as blanks. The Dice coefficient of two sets of bigrams can reach a threshold t only if
 their sizes differ by a factor of (2 - t) / t at most, so each template is looked for only among units of such sizes:
 units that fit no template's bounds are gone, by their number of words, before any bigram is made, and the rest meet
-templates by an equi-join on the size. Everything is built-in expressions.
+templates by an equi-join on the size. Before that, texts and units without a word that every match must have are gone:
+for each template some words touch more of its bigrams than a match can lack. Everything is built-in expressions.
 
 Repeated bigrams of a unit count as often as they come, so that its size is its number of words less one.
 
@@ -15,6 +16,8 @@ whole texts are scanned.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -70,12 +73,37 @@ def size_bounds(n: Column, least: float) -> tuple[Column, Column]:
     return F.ceil(n * (least / (2 - least)) - 1e-9).cast("int"), F.floor(n * ((2 - least) / least) + 1e-9).cast("int")
 
 
+def anchor_words(template: str, least: float) -> set[str]:
+    """Words of which any unit that reaches ``least`` against the template has one.
+
+    A match lacks a bounded number of the template's bigrams; words that together touch more of them can't all be
+    missing. Longer words are taken first, then numbers, as they are rarer.
+    """
+    words = re.findall("[a-z0-9]+", template.lower())
+    n = len(words) - 1
+    fewest = math.ceil(n * least / (2 - least) - 1e-9)  # bigrams of a unit; the fewer, the more may be lacking
+    spare = n - math.ceil((fewest + n) * least / 2 - 1e-9)
+    chosen: set[str] = set()
+    for word in sorted(set(words), key=lambda w: (-(4 if w.isdigit() else len(w)) * (len(w) > 2 or w.isdigit()), w)):
+        if sum(a in chosen or b in chosen for a, b in zip(words, words[1:])) > spare:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def text_units(text: Column) -> Column:
     """Lines, paragraphs of several lines, and the whole text if it has several lines."""
     several = lambda u: F.contains(u, F.lit("\n"))
     return F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t\r]*\n"), several), F.filter(F.array(text), several))
 
 
+def anchored(text: Column, templates: dict[str, list[str]], least: float) -> Column:
+    """Whether a text has an anchor word of some template; words that hold others are not asked for."""
+    words = set().union(*(anchor_words(t, least) for ts in templates.values() for t in ts)) if templates else set()
+    words = [w for w in sorted(words) if not any(v in w for v in words - {w})]
+    return let(F.lower(text), lambda t: F.exists(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(t, w)))
+
+
 def license_hits(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, license, dice, units) for each id of ``docs`` and each licence in its texts: the best Dice coefficient
     and the number of matches of units with the licence's templates."""
@@ -87,7 +115,9 @@ def license_hits(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, l
     bounds = known.agg(F.min(low), F.max(high)).first()
     known = known.withColumn("n", F.explode(F.sequence(low, high)))  # a few dozen sizes for each template of a fixed list
     fits = lambda u: let(F.regexp_count(u, F.lit(WORDS)), lambda n: n.between((bounds[0] or 1) + 1, (bounds[1] or 0) + 1))
-    units = docs.select("doc_id", F.explode(F.filter(text_units(F.coalesce("text", F.lit(""))), fits)).alias("unit"))
+    may = lambda u: anchored(u, templates, least)
+    units = F.filter(F.filter(text_units(F.col("text")), may), fits)
+    units = docs.select("doc_id", "text").filter(may(F.col("text"))).select("doc_id", F.explode(units).alias("unit"))
     cut = units.select("doc_id", tagged_bigrams(F.col("unit")).alias("held")).withColumn("n", F.size("held"))
     met = cut.join(F.broadcast(known), "n")
     dice = 2 * F.size(F.array_intersect("held", "wanted")) / (F.col("n") + F.col("n_wanted"))

@@ -1,5 +1,6 @@
 """Licence scans on small texts, against direct counting."""
 
+import random
 import re
 from collections import Counter
 
@@ -42,3 +43,16 @@ def test_repeats_count(spark):
     got = {r["doc_id"]: r["dice"] for r in licenses.license_hits(docs, wanted, 0.5).collect()}
     want = {i: plain_dice(t, wanted["T"][0]) for i, t in docs.collect()}
     assert got == {i: d for i, d in want.items() if d >= 0.5}
+
+
+def test_anchor_words_are_in_every_match():
+    rng = random.Random(0)
+    for template in [t for ts in licenses.TEMPLATES.values() for t in ts] * 30:
+        words = template.split()
+        for _ in range(rng.randint(1, max(1, len(words) // 4))):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], ["other"], [words[i], "more"]])
+            words = words or ["x"]
+        text = " ".join(words)
+        if len(words) > 1 and plain_dice(text, template) >= licenses.LEAST:
+            assert any(w in text.lower() for w in licenses.anchor_words(template, licenses.LEAST))
