@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from docmill.plans import retrieval
+
+QUERIES = {**retrieval.QUERIES}
+ORACLES = {**retrieval.ORACLES}
