@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill import rules
@@ -92,3 +92,45 @@ def build_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFr
     none = lambda c: F.when(F.col(c) != "", F.col(c))
     text = F.concat_ws("\n", none("doc_name"), none("section"), F.col("chunk"))
     return named.select("doc_id", "doc_name", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "section", text.alias("text"))
+
+
+# Words that tell a section by its content, with their weights.
+HINTS = {
+    "材料清单": {"原件": 2, "复印件": 2, "纸质": 1, "电子化": 1, "免提交": 2, "空白表格": 2, "示例样本": 2, "材料类型": 2, "材料形式": 1, "填报须知": 1, "来源渠道": 1},
+    "实施依据": {"法律法规名称": 3, "依据文号": 3, "条款号": 3, "颁布机关": 3, "实施日期": 2, "条款内容": 2, "设定依据": 2},
+    "办理流程": {"网上办理流程": 2, "线下办理流程": 2, "窗口办理": 2, "网上办理": 1, "现场办理": 1, "受理": 1, "审查": 1, "决定": 1},
+    "收费信息": {"收费项目信息": 3, "不收费": 3, "收费标准": 3, "收费依据": 2, "元/": 2},
+    "咨询方式": {"咨询方式与监督方式": 3, "咨询方式": 2, "监督方式": 2, "投诉": 1, "办理地点：": 2},
+    "受理条件": {"受理条件": 2, "申请条件": 2, "符合下列": 2, "受理范围": 2},
+    "基础信息": {"事项名称": 3, "事项类型": 2, "承诺办结时限": 3, "法定办结时限": 2, "实施主体": 2, "日常用语": 2, "到办事现场次数": 2},
+    "审批信息": {"行使层级": 3, "权力来源": 2, "审批服务形式": 2, "联办机构": 2, "业务系统": 1, "委托部门": 1},
+}
+ALIASES = {"收费项目信息": "收费信息", "收费标准": "收费信息", "咨询方式与监督方式": "咨询方式"}
+
+
+def hinted_section(text: Column, least: int = rules.DEFAULTS.hint_least) -> Column:
+    """The section whose words weigh most in a text, the first of equals; null under a least weight."""
+    scored = []
+    for i, (name, hints) in enumerate(HINTS.items()):
+        pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(x).alias("x")) for w, x in hints.items()])
+        score = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when(F.contains(text, p["w"]), p["x"]).otherwise(0))
+        scored.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
+    best = F.array_max(F.array(*scored))
+    return F.when(best["score"] >= least, best["name"])
+
+
+def normal_section(section: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])[section], section)
+
+
+def last_heading(text: Column) -> Column:
+    """The last line of a text that is a section's name, under its usual name; null without any."""
+    lines = F.transform(F.split(text, "\n"), strip)
+    names = F.filter(lines, lambda x: x.isin([*rules.SECTION_NAMES, *ALIASES]))
+    return normal_section(F.try_element_at(names, F.lit(-1)))
+
+
+def inherited_sections(chunks: DataFrame, none: str = "正文") -> DataFrame:
+    """Chunks (doc_id, chunk_index, section), null sections replaced by the last one before in their document."""
+    before = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return chunks.withColumn("section", F.coalesce(F.last("section", ignorenulls=True).over(before), F.lit(none)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.plans import retrieval
+from docmill.plans import corpora, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-ORACLES = {**retrieval.ORACLES}
+QUERIES = {**retrieval.QUERIES, **corpora.QUERIES}
+ORACLES = {**retrieval.ORACLES, **corpora.ORACLES}
