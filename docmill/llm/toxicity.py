@@ -40,7 +40,7 @@ from docmill.session import checkpointed
 
 SPAN = 6  # of a triple, at most
 DECAY = 0.75
-POWER = 3
+POWER = 2
 FLOOR = 0.3  # lower similarities count as none
 LONGEST = 24  # of a token read at once
 GRAMS = (4, 5, 6, 7, 8, 9)  # lengths of strings that can be landmarks
@@ -66,8 +66,16 @@ def pieces(token: str) -> list[str]:
 
 
 def with_insertions(text: str) -> str:
-    """A text with a character put into every longer token, for learning what such tokens look like."""
-    put = lambda t: t if len(t) < 4 else t[: 1 + zlib.crc32(t.encode()) % (len(t) - 1)] + "xq*-z.j_"[len(t) % 8] + t[1 + zlib.crc32(t.encode()) % (len(t) - 1) :]
+    """A text with a character put somewhere into every longer token, for learning what such tokens look like."""
+    salt = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+    def put(token: str) -> str:
+        if len(token) < 4:
+            return token
+        mix = zlib.crc32(token.encode("utf-8", "surrogatepass"), salt)
+        at = 1 + mix % (len(token) - 1)
+        return token[:at] + "xq*-z.j_"[mix >> 20 & 7] + token[at:]
+
     return " ".join(map(put, text.split()))
 
 
@@ -226,9 +234,9 @@ def pick_landmarks(counts: DataFrame, n_toxic: int, n_clean: int, most: int) ->
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.5, epochs: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM (hinge loss, classes weighted by a power of how rare they are), by dual coordinate descent."""
+    """Weights and bias of a linear SVM (hinge loss, classes weighted by the root of how rare they are), by dual coordinate descent."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    bounds = cost * (len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))) ** 0.75
+    bounds = cost * (len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))) ** 0.5
     norms, alpha, w = (x**2).sum(axis=1), np.zeros(len(y)), np.zeros(x.shape[1])
     rng = np.random.default_rng(0)
     for _ in range(epochs):
