@@ -66,13 +66,15 @@ def gram_hashes(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[tupl
 
 
 def chunk_grams(row: pd.Series, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    words, sizes = np.asarray(row["words"], np.int64), np.asarray(row["sizes"], np.int64)
+    low, high = np.asarray(row["low"], np.int16).view(np.uint16), np.asarray(row["high"], np.int16)
+    words, sizes = low.astype(np.int64) | high.astype(np.int64) << 16, np.asarray(row["sizes"], np.int64)
     hashes = np.asarray(row["vocabulary"], np.int64).view(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
     return gram_hashes(hashes, np.repeat(np.cumsum(sizes) - sizes, sizes), order)
 
 
 def chunks_of(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
-    """A row for each chunk: its documents' ids and sizes, its tokens as numbers of its vocabulary's hashes."""
+    """A row for each chunk: its documents' ids and sizes, its tokens as numbers of its vocabulary's hashes, the lower
+    and the higher halves of the numbers apart, as most of the higher are zero."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), itertools.count()
@@ -81,7 +83,7 @@ def chunks_of(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
         def row() -> pd.DataFrame:
             vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known)).view(np.int64)
             whole = np.concatenate([*codes, np.zeros(0, np.int32)])
-            return pd.DataFrame({"chunk": [f"{part}-{next(number)}"], "ids": [ids], "sizes": [sizes], "words": [whole], "vocabulary": [vocabulary]})
+            return pd.DataFrame({"chunk": [f"{part}-{next(number)}"], "ids": [ids], "sizes": [sizes], "low": [(whole & 0xFFFF).astype(np.uint16).view(np.int16)], "high": [(whole >> 16).astype(np.int16)], "vocabulary": [vocabulary]})
 
         for rows, texts in slices(frames, "text", 1_000_000):
             for i, text in zip(rows["doc_id"].tolist(), texts):
@@ -96,7 +98,7 @@ def chunks_of(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "chunk string, ids array<long>, sizes array<int>, words array<int>, vocabulary array<long>")
+    return docs.select("doc_id", "text").mapInPandas(cut, "chunk string, ids array<long>, sizes array<int>, low array<smallint>, high array<smallint>, vocabulary array<long>")
 
 
 def count_answers(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
