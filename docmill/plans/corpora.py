@@ -146,6 +146,23 @@ def session_list(spark, sf):
     return first.orderBy(F.desc("last"), "session_id").limit(100)
 
 
+def cascade_delete(spark, sf):
+    talks = qa_pairs(spark, sf)
+    sessions = talks.select("session_id").distinct()
+    kept, left = corpus.cascade_delete(sessions, talks, sessions.filter("session_id % 3 = 0"))
+    return kept.join(left.groupBy("session_id").agg(F.count("*").alias("turns")), "session_id", "left")
+
+
+def checklist_progress(spark, sf):
+    talks = table(spark, sf, "conversations").groupBy("conv_id")
+    return talks.agg(F.count_if(F.col("role") == "user").alias("done"), F.count("*").alias("total"))
+
+
+def name_filter(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return d.filter(F.contains(F.lower("source"), F.lit("c1")) | F.contains(F.lower("lang"), F.lit("fr")))
+
+
 def message_unpivot(spark, sf):
     return history.messages(qa_pairs(spark, sf))
 
@@ -215,7 +232,7 @@ QUERIES = {
     for f in (
         sanitize_pages, snippet_docs, title_from_name, document_ids, clean_docs, clean_lines, chunk_docs, build_chunks, split_sections_docs, noise_filter,
         table_signal, section_hint, section_inherit, parse_json_answer, corpus_list, corpus_preview, corpus_delete, corpus_delete_keeps, corpus_upsert,
-        session_insert, qa_pairs, history_asc, recent_history_budget, session_list, message_unpivot, calibrate_1d, calibrate_pair, score_summary,
+        session_insert, cascade_delete, checklist_progress, name_filter, qa_pairs, history_asc, recent_history_budget, session_list, message_unpivot, calibrate_1d, calibrate_pair, score_summary,
         eval_report, outcome_mix, health_counts, extract_rows, extract_material, extractive_answer,
     )
 }
@@ -269,6 +286,9 @@ SELECT doc_id, n::INT AS chunk_index, coalesce(last_value(found IGNORE NULLS) OV
     "corpus_delete_keeps": f"WITH {_CHUNKS} SELECT doc_id, origin, 'document' AS what FROM dd WHERE origin <> 'uploaded' OR doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT doc_id, NULL, 'chunk' FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone)",
     "corpus_upsert": "WITH new AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT doc_id, lang, 0 AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT doc_id, 'xx', 1 FROM new",
     "session_insert": "SELECT DISTINCT conv_id AS session_id FROM conversations",
+    "cascade_delete": f"WITH {_QA} SELECT session_id, count(*) AS turns FROM qa WHERE session_id % 3 <> 0 GROUP BY session_id",
+    "checklist_progress": "SELECT conv_id, count(*) FILTER (role = 'user') AS done, count(*) AS total FROM conversations GROUP BY conv_id",
+    "name_filter": "SELECT doc_id, source, lang FROM documents WHERE contains(lower(source), 'c1') OR contains(lower(lang), 'fr')",
     "qa_pairs": f"WITH {_QA} SELECT * FROM qa",
     "history_asc": f"WITH {_QA} SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id)::INT AS n FROM qa",
     "recent_history_budget": f"""WITH {_QA}, r AS (SELECT *, row_number() OVER w AS n, sum(length(coalesce(question, '')) + length(coalesce(answer, ''))) OVER (PARTITION BY session_id ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS chars FROM qa WINDOW w AS (PARTITION BY session_id ORDER BY id DESC))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill import rules
 from docmill.functions.text import expanded, tokens
-from docmill.operators import ranking, search
+from docmill.operators import answers, ranking, search
 from docmill.session import checkpointed, table
 
 #: Fixed values of the queries: sections and questions that rows of ``embeddings`` stand for.
@@ -199,6 +199,26 @@ def source_list(spark, sf):
     return ranking.sources(hits(spark, sf).filter("pos <= 4"))
 
 
+def probe_scores(spark, sf):
+    h = hits(spark, sf)
+    return answers.probe(h.select("question_id").distinct(), h)
+
+
+def guide_answers(spark, sf):
+    brief = spark.createDataFrame([(3, "doc3", "基础信息", 0, "事项名称\n居住证办\n理日常用语 实施主体公安局委托部门")], "doc_id int, doc_name string, section string, chunk_index int, text string")
+    return answers.guide_answers(hits(spark, sf), brief)
+
+
+def answers_told(spark, sf):
+    h = ranking.rerank(hits(spark, sf)).drop("raw_score")
+    none = spark.createDataFrame([], "doc_id int, doc_name string, section string, chunk_index int, text string")
+    return answers.answers(h.select("question_id").distinct(), h, none).select("question_id", "route", "hit")
+
+
+def context_chars(spark, sf):
+    return ranking.contexts(hits(spark, sf).filter("pos <= 4")).select("question_id", F.length("context").alias("chars"))
+
+
 def expand_query(spark, sf):
     words = literal(QUESTIONS + [w for words, _ in rules.SYNONYMS for w in words])
     return spark.range(1).select(F.explode(words).alias("question")).select("question", expanded(F.col("question")).alias("expanded"))
@@ -225,7 +245,7 @@ QUERIES = {
     for f in (
         tokenize_docs, term_freq, doc_freq, doc_len_stats, bm25_topk, bm25_scores_strong, cosine_topk, cosine_topk_dedupe, cosine_doc_filter_post,
         cosine_doc_filter_pre, hash_embed_native, hybrid_exact, hybrid_candidates, rerank_boost, rerank_doc_order, relevance_gate, vague_route,
-        answer_route, merge_hits, second_best_doc, guide_docs, source_list, expand_query,
+        answer_route, merge_hits, second_best_doc, guide_docs, source_list, expand_query, probe_scores, guide_answers, answers_told, context_chars,
     )
 }
 _TOP = "row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS pos"
@@ -266,6 +286,15 @@ pool AS (SELECT *, {_FUSE} AS score FROM al)
 v AS (SELECT question_id, NOT {sql_any('question', rules.ENTITY_HINTS)} OR (vector_score < 0.6::DOUBLE AND keyword_score < 7) AS vague FROM g)
 SELECT q.question_id, CASE WHEN vague IS NULL THEN 'refuse' WHEN vague THEN 'guide' ELSE 'answer' END AS route
 FROM (SELECT DISTINCT question_id FROM re) q LEFT JOIN v USING (question_id)""",
+    "probe_scores": f"WITH {HITS_SQL} SELECT question_id, max(vector_score) AS vec, max(keyword_score) AS kw FROM hits GROUP BY question_id",
+    "guide_answers": f"""WITH {HITS_SQL}, d AS (SELECT question_id, doc_id, min(pos) AS first FROM hits GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first) AS n FROM d QUALIFY n <= 5)
+SELECT question_id, '请确认您要办理哪一项：' || chr(10) || string_agg(n || '. 《doc' || doc_id || '》' || CASE WHEN doc_id = 3 THEN ' —— 居住证办理 · 公安局…' ELSE '' END, chr(10) ORDER BY n) AS answer FROM n GROUP BY question_id""",
+    "answers_told": f"""WITH {RERANK_SQL}, g AS (SELECT * FROM re WHERE {RELEVANT_SQL} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY pos) = 1),
+v AS (SELECT question_id, NOT {sql_any('question', rules.ENTITY_HINTS)} OR (vector_score < 0.6::DOUBLE AND keyword_score < 7) AS vague FROM g)
+SELECT q.question_id, CASE WHEN vague IS NULL THEN 'refuse' WHEN vague THEN 'guide' ELSE 'answer' END AS route, vague IS NOT NULL AS hit
+FROM (SELECT DISTINCT question_id FROM re) q LEFT JOIN v USING (question_id)""",
+    "context_chars": f"WITH {HITS_SQL} SELECT question_id, length(string_agg('[' || pos || '] doc' || doc_id || ' / ' || section || chr(10) || 'text', chr(10) || chr(10) ORDER BY pos))::INT AS chars FROM hits WHERE pos <= 4 GROUP BY question_id",
     "merge_hits": f"""WITH {HITS_SQL},
 u AS (SELECT question_id, doc_id, section, chunk_id, pos, CASE WHEN pos <= 8 THEN score ELSE round(score * 1.1::DOUBLE, 6) END AS score, (pos > 8)::INT AS src FROM hits),
 s AS (SELECT *, min(src * 1000 + pos) OVER (PARTITION BY question_id, doc_id, section) AS seen FROM u
