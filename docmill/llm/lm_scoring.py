@@ -36,7 +36,7 @@ ORDER = 2
 LEAST = 2
 BACKOFF = 0.4
 #: Tokens of a chunk, at least, unless its partition has fewer; n-grams of a bucket, about.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 BUCKET = 1_500_000
 
 
@@ -53,23 +53,23 @@ def extended(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def gram_hashes(hashes: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n from 1 to ``order``: the places where an n-gram ends, and its hash. ``starts``: each token's document start."""
-    at, grams = np.arange(len(hashes)), hashes
-    out = [(at, grams)]
+    at, grams = np.arange(len(hashes), dtype=np.int32), hashes
+    yield at, grams
     for n in range(2, order + 1):
-        inside = np.flatnonzero(np.arange(len(hashes)) - starts >= n - 1)
         before = np.zeros(len(hashes), np.uint64)
-        before[out[-1][0]] = out[-1][1]
-        out.append((inside, extended(before[inside - 1], hashes[inside])))
-    return out
+        before[at] = grams
+        at = np.flatnonzero(np.arange(len(hashes), dtype=np.int32) - starts >= n - 1).astype(np.int32)
+        grams = extended(before[at - 1], hashes[at])
+        yield at, grams
 
 
-def chunk_grams(row: pd.Series, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def chunk_grams(row: pd.Series, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     low, high = np.asarray(row["low"], np.int16).view(np.uint16), np.asarray(row["high"], np.int16)
-    words, sizes = low.astype(np.int64) | high.astype(np.int64) << 16, np.asarray(row["sizes"], np.int64)
+    words, sizes = low.astype(np.int32) | high.astype(np.int32) << 16, np.asarray(row["sizes"], np.int64)
     hashes = np.asarray(row["vocabulary"], np.int64).view(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
-    return gram_hashes(hashes, np.repeat(np.cumsum(sizes) - sizes, sizes), order)
+    return gram_hashes(hashes, np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes), order)
 
 
 def chunks_of(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
