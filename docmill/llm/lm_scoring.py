@@ -1,7 +1,7 @@
 """Language-model scores by stupid backoff (operator 1), relationally.
 
-Documents are cut into chunks of a few million tokens, each a row that holds its documents as numbers of words and its
-words as 64-bit hashes. A chunk's distinct n-grams, with their counts in it, go as arrays to the bucket of their hash:
+Documents are cut into chunks of a few million tokens, in pieces of one row each that hold their documents' sizes and
+their words as 64-bit hashes. A chunk's distinct n-grams, with their counts in it, go as arrays to the bucket of their hash:
 so a frequent n-gram, in however many documents, reaches its bucket once for each chunk. Every bucket adds up its part
 of the count table and answers each chunk with the counts of the chunk's own n-grams, in order. Joined with the
 chunks, the answers score every token: the longest n-gram that ends there and is frequent enough gives
@@ -65,58 +65,55 @@ def gram_hashes(hashes: np.ndarray, starts: np.ndarray, order: int) -> Iterator[
         yield at, grams
 
 
-def chunk_grams(row: pd.Series, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    low, high = np.asarray(row["low"], np.int16).view(np.uint16), np.asarray(row["high"], np.int16)
-    words, sizes = low.astype(np.int32) | high.astype(np.int32) << 16, np.asarray(row["sizes"], np.int64)
-    hashes = np.asarray(row["vocabulary"], np.int64).view(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
+def chunk_grams(pieces: pd.DataFrame, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of a chunk, its pieces being in order."""
+    joined = lambda c, kind: np.concatenate([*pieces[c], np.zeros(0, kind)]).astype(kind, copy=False)
+    words = joined("low", np.int16).view(np.uint16) | joined("high", np.int16).astype(np.int32) << 16
+    sizes = joined("sizes", np.int32).astype(np.int64)
+    hashes = joined("vocabulary", np.int64).view(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
     return gram_hashes(hashes, np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes), order)
 
 
 def chunks_of(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
-    """A row for each chunk: its documents' ids and sizes, its tokens as numbers of its vocabulary's hashes, the lower
-    and the higher halves of the numbers apart, as most of the higher are zero."""
+    """Rows for the pieces of each chunk: documents' ids and sizes, their tokens as numbers in the chunk's vocabulary,
+    the lower and the higher halves apart, as most of the higher are zero, and the hashes of words new in the piece."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number = TaskContext.get().partitionId(), itertools.count()
-        ids, sizes, codes, held, known = [], [], [], 0, defaultdict(itertools.count().__next__)
-
-        def row() -> pd.DataFrame:
-            vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known)).view(np.int64)
-            whole = np.concatenate([*codes, np.zeros(0, np.int32)])
-            return pd.DataFrame({"chunk": [f"{part}-{next(number)}"], "ids": [ids], "sizes": [sizes], "low": [(whole & 0xFFFF).astype(np.uint16).view(np.int16)], "high": [(whole >> 16).astype(np.int16)], "vocabulary": [vocabulary]})
-
+        part, chunk, piece, held, known = TaskContext.get().partitionId(), 0, 0, 0, defaultdict(itertools.count().__next__)
         for rows, texts in slices(frames, "text", 1_000_000):
-            for i, text in zip(rows["doc_id"].tolist(), texts):
-                words = words_of(text)
-                ids.append(None if pd.isna(i) else int(i))
-                sizes.append(len(words))
-                codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                held += len(words)
+            before = len(known)
+            words = [words_of(t) for t in texts]
+            sizes = [len(w) for w in words]
+            codes = np.fromiter((known[w] for ws in words for w in ws), np.int32, sum(sizes))
+            new = np.fromiter((xxhash.xxh64_intdigest(w) for w in itertools.islice(known, before, None)), np.uint64, len(known) - before)
+            low, high = (codes & 0xFFFF).astype(np.uint16).view(np.int16), (codes >> 16).astype(np.int16)
+            ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"].tolist()]
+            yield pd.DataFrame({"chunk": [f"{part}-{chunk}"], "piece": [piece], "ids": [ids], "sizes": [sizes], "low": [low], "high": [high], "vocabulary": [new.view(np.int64)]})
+            piece, held = piece + 1, held + len(codes)
             if held >= tokens:
-                yield row()
-                ids, sizes, codes, held, known = [], [], [], 0, defaultdict(itertools.count().__next__)
-        if ids:
-            yield row()
+                chunk, piece, held, known = chunk + 1, 0, 0, defaultdict(itertools.count().__next__)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "chunk string, ids array<long>, sizes array<int>, low array<smallint>, high array<smallint>, vocabulary array<long>")
+    schema = "chunk string, piece int, ids array<long>, sizes array<int>, low array<smallint>, high array<smallint>, vocabulary array<long>"
+    return docs.select("doc_id", "text").mapInPandas(cut, schema)
 
 
 def count_answers(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     """(chunk, n, bucket, counts): the corpus's counts of each chunk's distinct n-grams in the bucket, in hash order."""
     bits = np.uint64(64 - int(math.log2(buckets)))
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for _, row in f.iterrows():
-                for n, (_, grams) in enumerate(chunk_grams(row, order), 1):
-                    grams, counts = np.unique(grams, return_counts=True)
-                    if not len(grams):
-                        continue
-                    of = (grams >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(grams), np.int64)
-                    cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-                    parts = pd.DataFrame({"bucket": of[np.append(0, cuts)]})
-                    parts["grams"], parts["counts"] = np.split(grams.view(np.int64), cuts), np.split(counts.astype(np.int32), cuts)
-                    yield parts.assign(chunk=row["chunk"], n=n)[["bucket", "chunk", "n", "grams", "counts"]]
+    def ask(f: pd.DataFrame) -> pd.DataFrame:
+        asked = [pd.DataFrame({"bucket": [], "chunk": [], "n": [], "grams": [], "counts": []})]
+        for n, (_, grams) in enumerate(chunk_grams(f.sort_values("piece"), order), 1):
+            grams, counts = np.unique(grams, return_counts=True)
+            if not len(grams):
+                continue
+            of = (grams >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(grams), np.int64)
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            parts = pd.DataFrame({"bucket": of[np.append(0, cuts)]})
+            parts["grams"] = pd.Series(np.split(grams.view(np.int64), cuts), dtype=object)
+            parts["counts"] = pd.Series(np.split(counts.astype(np.int32), cuts), dtype=object)
+            asked.append(parts.assign(chunk=f["chunk"].iloc[0], n=n))
+        return pd.concat(asked[1:] or asked)[["bucket", "chunk", "n", "grams", "counts"]]
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         answers = []
@@ -128,7 +125,7 @@ def count_answers(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
             answers.append(pd.DataFrame({"chunk": rows["chunk"].values, "n": n, "bucket": rows["bucket"].values, "counts": pd.Series(parts, dtype=object)}))
         return pd.concat(answers)
 
-    asked = chunks.mapInPandas(ask, "bucket long, chunk string, n int, grams array<long>, counts array<int>")
+    asked = chunks.groupBy("chunk").applyInPandas(ask, "bucket long, chunk string, n int, grams array<long>, counts array<int>")
     return asked.groupBy("bucket").applyInPandas(add, "chunk string, n int, bucket long, counts array<long>")
 
 
@@ -140,11 +137,12 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
     answers = count_answers(chunks, order, buckets)
 
     def weigh(chunk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        row = chunk.iloc[0]
-        sizes = np.asarray(row["sizes"], np.int64)
+        pieces = chunk.sort_values("piece")
+        sizes = np.concatenate([*pieces["sizes"]]).astype(np.int64)
+        ids = [None if pd.isna(i) else int(i) for x in pieces["ids"] for i in x]
         value = np.zeros(int(sizes.sum()))
         before = np.full(len(value), float(total))  # counts of the shorter n-grams, by place
-        for n, (at, grams) in enumerate(chunk_grams(row, order), 1):
+        for n, (at, grams) in enumerate(chunk_grams(pieces, order), 1):
             _, place = np.unique(grams, return_inverse=True)
             parts = found[found["n"] == n].sort_values("bucket")["counts"]
             counts = np.concatenate([*parts, np.zeros(0, np.int64)])[place].astype(float)
@@ -155,7 +153,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
             before[at] = counts
         sums = np.add.reduceat(np.append(value, 0.0), np.minimum(np.cumsum(sizes) - sizes, len(value))) * (sizes > 0)
         mean = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)
-        return pd.DataFrame({"doc_id": pd.array(row["ids"], "Int64"), "tokens": sizes, "log_score": sums, "mean_log_score": mean})
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "tokens": sizes, "log_score": sums, "mean_log_score": mean})
 
     both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     scored = both.applyInPandas(weigh, "doc_id long, tokens long, log_score double, mean_log_score double")
