@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import decontamination, mixing, secret_scan, simhash, toxicity
+from docmill.llm import decontamination, mixing, near_sets, secret_scan, toxicity
 from docmill.llm.common import written
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One row of each group of near-duplicates: texts that share four fifths of their five-word shingles."""
+    return near_sets.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No SQL: the classifier, fingerprints, edit distances and entropies are beyond it; tests hold each stage to brute force.
+#: No SQL: the classifier, similar sets, edit distances and entropies are beyond it; tests hold each stage to brute force.
 ORACLE_SQL = None
 
 
