@@ -29,14 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between steps, the same to the driver and all executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests,
-    single machines) a temporary folder is taken.
+    It is the one named in ``spark.checkpoint.dir`` or set with ``setCheckpointDir``. Only a local session, where all
+    tasks share the driver's disk, gets a temporary folder instead; a cluster without either is told so.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named or at.isDefined():
+        return named or at.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docmill-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmill-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
