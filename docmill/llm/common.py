@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from docmill.session import shared_folder
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,29 +28,64 @@ def learnable(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds != 0, F.lit(False))
 
 
-def as_text(value) -> str:
-    """A cell of a text column; null is the empty text."""
-    return value if isinstance(value, str) else ""
-
-
-def slices(frames: Iterator[pd.DataFrame], text: str, chars: int, rows: int = 512) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1_000_000, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive rows of some ``chars`` characters (one row at least, ``rows`` at most), with their texts; null is the
     empty text. All rows come out in the end: the bounds only keep arrays small."""
-    for frame in frames:
-        texts = [as_text(x) for x in frame[text].tolist()]
+    for batch in batches:
+        texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         ends = np.cumsum([len(x) for x in texts])
         at = 0
         while at < len(texts):
             base = ends[at - 1] if at else 0
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + chars, side="right"))))
-            yield frame.iloc[at:to], texts[at:to]
+            yield batch.slice(at, to - at), texts[at:to]
             at = to
 
 
+def derived(rows: DataFrame, new: str, start: Callable[[], Callable[[list[str]], list]], text: str = "text", chars: int = 1_000_000) -> DataFrame:
+    """``rows`` with the columns ``new`` (as in a schema) in place of the text. ``start`` gives a task its function from
+    texts to values for each new column. The other columns, ids above all, pass as they are, in Arrow, so that nulls
+    beside them change nothing."""
+    kept = [c for c in rows.columns if c != text]
+    added = StructType.fromDDL(new)
+    schema = StructType([*(rows.schema[c] for c in kept), *added])
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for batch, texts in text_slices(batches, text, chars):
+            values = [pa.array(v, k, from_pandas=False) for v, k in zip(of(texts), kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *values], [*kept, *added.names])
+
+    return rows.mapInArrow(work, schema)
+
+
+def reworked(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``rows`` after ``work`` on their batches, which keeps the columns; these go by number in it, as mapInArrow takes no
+    names with dots."""
+    names = rows.columns
+    numbered = rows.toDF(*[f"c{i}" for i in range(len(names))])
+    return numbered.mapInArrow(work, numbered.schema).toDF(*names)
+
+
+def kept_rows(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows whose texts the task's function keeps; all columns, whatever their names, as they are."""
+    column = f"c{rows.columns.index(text)}"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for batch, texts in text_slices(batches, column):
+            yield batch.filter(pa.array(of(texts), pa.bool_()))
+
+    return reworked(rows, work)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder that the cluster names in ``spark.checkpoint.dir``, read back."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmill-")
-    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder that the cluster names in ``spark.checkpoint.dir``, read back.
+
+    The session's last use of the table is not known here, so the table stays: the folder's owner clears it, as with
+    checkpoints of jobs that broke off.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,29 +8,34 @@ that, windows are ruled out by the item's quadruples of characters side by side:
 Texts are compared in lower case, white space as single blanks; positions are given in the text as it is.
 
 Benchmarks are small beside the corpus. Their size is checked: items go to automata of bounded size by a hash, one for
-an ordinary benchmark, and each automaton is one more pass over the documents.
+an ordinary benchmark. The driver holds one list of items at a time: where there are more, each is a pass of its own
+over the documents, whose result is written before the next list is read.
 
-Defined cases: null is the empty text; items that are null or blank, or have no id, are not looked for; every row of
+Defined cases: null is the empty text; items that are null or shorter than ``SHORTEST``
+characters (they come up by chance), or have no id, are not looked for; every row of
 the documents is searched, repeated rows too, as a whole; of several places of an item in a text the one with the
-fewest edits counts, then the first; other columns of the inputs are not looked at.
+fewest edits counts, then the first; ids of any type pass
+as they are; other columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from docmill.llm.common import as_text
+from docmill.llm.common import kept_rows, text_slices, written
 
 RATE = 0.1
 #: Characters of the items in one automaton.
 AUTOMATON = 4_000_000
+#: Of an item, in normal form.
+SHORTEST = 16
 
 
 def lowered(text: str) -> str:
@@ -81,7 +86,7 @@ class Finder:
     """Looks for test items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(i, n) for i, t in items if (n := normal(t))]
+        self.items = [(i, n) for i, t in items if len(n := normal(t)) >= SHORTEST]
         self.budgets = [math.floor(len(n) * rate) for _, n in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, ((_, text), budget) in enumerate(zip(self.items, self.budgets)):
@@ -137,51 +142,60 @@ class Finder:
         return sorted((self.items[k][0], where[a], where[b - 1] + 1, edits) for k, (edits, a, b) in best.items())
 
 
-def item_lists(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, dealt out into lists of bounded size, each for one automaton."""
+def item_lists(items: DataFrame) -> Iterator[list[tuple]]:
+    """The items, dealt out into lists of bounded size, each for one automaton; only one is held at a time."""
     rows = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = math.ceil(chars / AUTOMATON)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [[tuple(r) for r in rows.filter(part == i).orderBy("item_id", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in rows.filter(part == i).orderBy("item_id", "text").collect()]
 
 
 def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, start, end, edits) for each row of ``docs`` and each item in it."""
-    kind, item_kind = (docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
-    schema = f"doc_id {kind}, item_id {item_kind}, start long, end long, edits int"
+    kind, item_kind = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, start long, end long, edits int"
+    kinds = [to_arrow_type(item_kind), pa.int64(), pa.int64(), pa.int32()]
 
-    def of(part: list[tuple[int, str]]) -> DataFrame:
+    def of(part: list[tuple]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(part)  # at most about AUTOMATON characters
 
-        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value, rate)
-            for f in frames:
-                rows = [(d, *x) for d, t in zip(f["doc_id"].tolist(), f["text"].tolist()) for x in finder.find(as_text(t))]
-                if rows:
-                    out = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
-                    yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-        return docs.select("doc_id", "text").mapInPandas(search, schema)
-
-    parts = [of(part) for part in item_lists(items)]
-    return functools.reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+            for batch, texts in text_slices(batches):
+                found = [(i, *x) for i, t in enumerate(texts) for x in finder.find(t)]
+                if found:
+                    row, *cells = zip(*found)
+                    ids = batch.column(0).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cells, kinds)], ["doc_id", "item_id", "start", "end", "edits"])
+
+        return docs.select("doc_id", "text").mapInArrow(search, schema)
+
+    found, before = None, None
+    for part in item_lists(items):
+        if before is not None:  # the list before is done with
+            before = written(before, "leaks")
+            found = before if found is None else found.union(before)
+        before = of(part)
+    if before is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return before if found is None else found.union(before)
 
 
 def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with all their columns."""
-
-    def filtered(rows: DataFrame, part: list[tuple[int, str]]) -> DataFrame:
+    rows = docs
+    for i, part in enumerate(item_lists(items)):
+        rows = written(rows, "fair") if i else rows
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
-        def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def start(sent=sent):
             finder = Finder(sent.value, rate)
-            for f in frames:
-                yield f[[not finder.find(as_text(t)) for t in f["text"].tolist()]]
-
-        return rows.mapInPandas(keep, docs.schema)
+            return lambda texts: [not finder.find(x) for x in texts]
 
-    return functools.reduce(filtered, item_lists(items), docs)
+        rows = kept_rows(rows, start)
+    return rows
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

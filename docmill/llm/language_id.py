@@ -8,22 +8,25 @@ language, and Spark adds those; only languages x dimensions numbers come to the
 
 Defined cases: a null text, or one without letters, gets ``und`` and score 0, and so does everything if nothing can be
 learned from; rows with a null id are scored but not learned from; equal cosines go to the smaller language name;
-every row of the input gives a row; other columns of the input are not looked at; whole texts count.
+every row of the input gives a row, with its id as it is, of any type; other columns of the input are not looked at;
+whole texts count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import held_out, learnable, slices
+from docmill.llm.common import derived, held_out, learnable, text_slices
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+#: Trigrams whose vectors are held at once: texts of many letters have many.
+BLOCK = 8192
 
 
 def letter_vector(letter: int, dimensions: int) -> np.ndarray:
@@ -43,8 +46,9 @@ class Bundler:
                 self.letters[x] = letter_vector(x, self.dimensions)
         return np.stack([self.letters[x] for x in letters.tolist()])
 
-    def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, trigram) index of every letter, and the vectors of the trigrams that occur."""
+    def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, trigram) index of every letter, the trigrams that occur as rows of three letters' numbers, and the
+        letters' vectors, by number; the blank is 0."""
         low = [x.lower() for x in texts]
         points = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         seen = np.flatnonzero(np.bincount(points))
@@ -62,35 +66,44 @@ class Bundler:
             codes = place[codes]
         else:
             grams, codes = np.unique(codes, return_inverse=True)
-        base = self.vectors(np.concatenate([[0], seen]))
-        a, b, c = grams // (n * n), grams // n % n, grams % n
-        bound = np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
         starts = np.cumsum([1, *(len(x) + 1 for x in low)])
-        return np.searchsorted(starts, at, side="right") - 1, codes, bound.astype(np.float32)
+        letters = np.stack([grams // (n * n), grams // n % n, grams % n])
+        return np.searchsorted(starts, at, side="right") - 1, codes, letters, self.vectors(np.concatenate([[0], seen]))
 
     def bundles(self, texts: list[str], groups: np.ndarray | None = None) -> np.ndarray:
         """A row for each text, or for each of the groups that texts are given to."""
-        text, gram, vectors = self.trigrams(texts)
+        text, gram, letters, base = self.trigrams(texts)
         groups = np.arange(len(texts)) if groups is None else groups
-        rows, width = int(groups.max(initial=-1)) + 1, len(vectors)
-        counts = np.bincount(groups[text] * width + gram, minlength=rows * width).reshape(rows, width)
-        return counts.astype(np.float32) @ vectors
+        rows, width = int(groups.max(initial=-1)) + 1, letters.shape[1]
+        row, out = groups[text], np.zeros((rows, self.dimensions), np.float32)
+        if width > BLOCK:
+            order = np.argsort(gram, kind="stable")
+            row, gram = row[order], gram[order]
+        twice, once = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
+        for at in range(0, width, BLOCK):
+            a, b, c = letters[:, at : at + BLOCK]
+            bound = (twice[a] * once[b] * base[c]).astype(np.float32)
+            low, high = (0, len(gram)) if width <= BLOCK else np.searchsorted(gram, [at, at + BLOCK])
+            counts = np.bincount(row[low:high] * len(a) + gram[low:high] - at, minlength=rows * len(a)).reshape(rows, len(a))
+            out += counts.astype(np.float32) @ bound
+        return out
 
 
 def learn_prototypes(docs: DataFrame, which: Column, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """The bundle of each language over the rows that ``which`` picks, all of them, whole texts."""
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(dimensions), {}
-        for rows, texts in slices(frames, "text", 1_000_000):
-            codes, names = pd.factorize(rows["lang"])
-            for name, bundle in zip(names, bundler.bundles(texts, codes).astype(np.float64)):
+        for rows, texts in text_slices(batches):
+            langs = rows.column(1).to_pylist()
+            names = sorted(set(langs))
+            for name, bundle in zip(names, bundler.bundles(texts, np.array([names.index(x) for x in langs])).astype(np.float64)):
                 sums[name] = sums.get(name, 0) + bundle
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "bundle": [x.tolist() for x in sums.values()]})
+            yield pa.record_batch([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()])], ["lang", "bundle"])
 
     rows = docs.filter(which & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    parts = rows.mapInPandas(add, "lang string, bundle array<double>").select("lang", F.posexplode("bundle"))
+    parts = rows.mapInArrow(add, "lang string, bundle array<double>").select("lang", F.posexplode("bundle"))
     sums = parts.groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("bundle"))
     return {r["lang"]: np.array([x["x"] for x in r["bundle"]]) for r in whole.collect()}
@@ -101,20 +114,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     names = sorted(n for n, x in prototypes.items() if np.any(x))
     units = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.zeros((0, dimensions))
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list[str]], list]:
         bundler = Bundler(dimensions)
-        for rows, texts in slices(frames, "text", 1_000_000):
+
+        def predict(texts: list[str]) -> list:
             bundles = bundler.bundles(texts).astype(np.float64)
             length = np.linalg.norm(bundles, axis=1)
             known = (length > 0) & bool(names)
             cosines = bundles @ units.T / np.maximum(length, 1e-9)[:, None] if names else np.zeros((len(texts), 1))
             best = cosines.argmax(axis=1)
             score = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0)
-            pred = [names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].values, "lang_pred": pred, "score": score})
+            return [[names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())], score]
+
+        return predict
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double")
+    return derived(docs.select("doc_id", "text"), "lang_pred string, score double", start)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -4,24 +4,22 @@ One Aho-Corasick pass finds anchors: at-signs, scheme marks, identifier cues, pl
 digits. From each anchor a deterministic parser walks outwards while the characters fit, and validates what it has:
 e-mail and IP addresses, card numbers (Luhn), phone numbers, URLs, IBANs (mod 97) and cued account numbers.
 
-Defined cases: null is the empty text and has no spans; every row of the input gives a row, repeated rows too; other
-columns of the input are not looked at; whole texts are scanned, of any length. An anchor inside a stretch that the
+Defined cases: null is the empty text and has no spans; every row of the input gives a row, repeated rows too, with its
+id as it is, of any type; other columns of the input are not looked at; whole texts are scanned, of any length. An anchor inside a stretch that the
 same parser has used up is passed over, which keeps matches of a kind leftmost and apart.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 import string
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from docmill.llm.common import as_text
+from docmill.llm.common import derived
+from docmill.llm.secret_scan import digest
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account")
@@ -161,29 +159,9 @@ def iban_ok(code: str) -> bool:
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for each row of ``docs``."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_personal(as_text(x))] for x in f["text"].tolist()]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "spans": spans})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    spans = "spans array<struct<kind: string, start: bigint, end: bigint>>"
+    return derived(docs.select("doc_id", "text"), spans, lambda: lambda texts: [[find_personal(x) for x in texts]])
 
 
 def op10_personal_data(spark, sf_dir: str) -> DataFrame:
-    joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for spans in f["spans"].tolist():
-                every = [(s["kind"], s["start"], s["end"]) for s in spans]
-                base = [s for s in every if s[0] in BASE]
-                counts = [sum(s[0] == k for s in base) for k in BASE]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-            yield out.assign(doc_id=f["doc_id"].values)[["doc_id", *out.columns]]
-
-    found = personal_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.mapInPandas(digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return digest(personal_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")), BASE)

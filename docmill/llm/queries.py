@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from docmill.llm import decontamination, language_id, licenses, lm_scoring, mixing, pii, secret_scan, simhash, toxicity, vector_search
+from docmill.llm import decontamination, language_id, licenses, lm_scoring, mixing, pii, pipeline, secret_scan, simhash, toxicity, vector_search
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,9 +15,10 @@ QUERIES = {
     "op8_nearest": vector_search.op8_nearest,
     "op9_simhash": simhash.op9_simhash,
     "op10_personal_data": pii.op10_personal_data,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
+    "op1_lm_scoring": lm_scoring.LM_SQL,
     "op4_mix_sources": mixing.MIX_SQL.format(rows="documents"),
     "op5_license_scan": licenses.LICENSE_SQL,
 }

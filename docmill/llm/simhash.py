@@ -9,8 +9,8 @@ more, by four quarters of its other 48 bits, of which again one must agree. Task
 pairs, and the links' components are found with joins.
 
 Defined cases: null is the empty text, which has fingerprint 0 and is linked like any other; null ids never become
-component ids unless a component has no other; every row of the input gives a row, repeated rows too; other columns
-of the input are not looked at; whole texts count.
+component ids unless a component has no other; every row of the input gives a row, repeated rows too, with its id as
+it is; other columns of the input are not looked at; whole texts count.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import slices
+from docmill.llm.common import derived
 from docmill.llm.components import components
 from docmill.session import checkpointed
 
@@ -67,23 +67,19 @@ def fingerprints_of(texts: list[str]) -> np.ndarray:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row of ``docs``; fp is the fingerprint as a signed long."""
 
-    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in slices(frames, "text", 1_000_000):
-            yield pd.DataFrame({"doc_id": rows["doc_id"].values, "fp": fingerprints_of(texts).view(np.int64)})
+    return derived(docs.select("doc_id", "text"), "fp long", lambda: lambda texts: [fingerprints_of(texts).view(np.int64)])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(hashed, f"doc_id {kind}, fp long")
 
-
-def trie_links(values: np.ndarray, starts: np.ndarray, depth: int, budget: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, starts: np.ndarray, depth: int, budget: int, most: int = 1 << 20, folded: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of ``values`` that differ in ``budget`` bits or fewer, for groups that begin at ``starts``.
 
     Each group's values are distinct, in order, and agree in their first ``depth`` bits, so that a stretch of them is
-    a node of a binary trie. Pairs of nodes are walked level by level; at most about ``most`` pairs at once.
+    a node of a binary trie. Pairs of nodes are walked level by level; at most about ``most`` pairs at once. Once there
+    are ``folded`` links (0: never) and more than nodes, they give way to a tree that joins the same nodes.
     """
     values, n = values.astype(np.uint64), len(values)
     ends = np.append(starts[1:], n)
-    left, right = [], []
+    left, right, kept = [], [], 0
     todo = [(depth, np.stack([starts, ends, starts, ends, np.zeros_like(starts)]))]
     while todo:
         depth, pairs = todo.pop()
@@ -93,6 +89,11 @@ def trie_links(values: np.ndarray, starts: np.ndarray, depth: int, budget: int,
         near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i != j)
         left.append(i[near])
         right.append(j[near])
+        kept += int(near.sum())
+        if kept > max(folded or kept, n):  # more links than nodes: a tree of them joins the same
+            roots = local_roots(n, np.concatenate(left), np.concatenate(right))
+            at = np.flatnonzero(roots != np.arange(n))
+            left, right, kept = [at], [roots[at]], len(at)
         pairs = pairs[:, ~lone]
         if not pairs.shape[1]:
             continue
@@ -143,16 +144,18 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, crowded: int = CROWD
     parts = parts.withColumn("head", F.expr("shiftrightunsigned(value, case when part < 0 then 48 else 36 end)"))
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last group so far, which may go on
+        held = []  # the frames of the last group so far, which may go on
         for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
             keys = f[["block", "part", "head"]].to_numpy()
             changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            cut = changes[-1] if len(changes) else 0
-            held = f.iloc[cut:]
-            yield from linked(f.iloc[:cut])
-        if held is not None and len(held):
-            yield from linked(held)
+            last = held[-1][["block", "part", "head"]].to_numpy()[-1] if held else keys[0]
+            cut = changes[-1] if len(changes) else 0 if (keys[0] == last).all() else None
+            if cut is None or cut:
+                yield from linked(pd.concat([*held, f.iloc[: cut or 0]], ignore_index=True))
+                held = []
+            held.append(f.iloc[cut or 0 :])
+        if held:
+            yield from linked(pd.concat(held, ignore_index=True))
 
     def linked(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for crowd, depth in ((False, 16), (True, 28)):
@@ -165,7 +168,7 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, crowded: int = CROWD
             block, part, value, head = block[order], part[order], value[order], head[order]
             new = np.ones(len(g), bool)
             new[1:] = (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (head[1:] != head[:-1])
-            left, right = trie_links(value, np.flatnonzero(new), depth, budget)
+            left, right = trie_links(value, np.flatnonzero(new), depth, budget, folded=1 << 20)
             roots = local_roots(len(value), left, right)
             at = np.flatnonzero(roots != np.arange(len(value)))
             back = turned_back(value, block, part)
@@ -200,24 +203,6 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, crowded: int = CROWDE
     return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """One row of each component of near-duplicates, the one with the smallest id, with all its columns; of repeated
-    rows the first by text hash, then by the other columns' hash."""
-    found = near_duplicates(docs, budget)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_first"))
-    names = docs.columns
-
-    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in slices(frames, "text", 1_000_000):
-            yield rows.assign(_fp=fingerprints_of(texts).view(np.int64))[[*names, "_fp"]]
-
-    marked = docs.mapInPandas(hashed, docs.select(*names, F.lit(0).cast("long").alias("_fp")).schema)
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["_id"]) & (marked["_fp"] == first["_first"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text"), F.xxhash64(*names)))
-    return kept.withColumn("_place", place).filter("_place = 1").select(*names)
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,22 +1,25 @@
 """Toxicity (operator 3): a gap-weighted subsequence kernel, Nyström landmarks and a linear support vector machine.
 
-The kernel of two tokens sums, over the character triples that both hold in order, with gaps, the decays of their
-spans; a mark at the token's start counts as a character. It is normalised by both tokens' lengths in feature space
+The kernel of two strings sums, over the character triples that both hold in order, with gaps, the decays of their
+spans; a mark at the string's start counts as a character. It is normalised by both strings' lengths in feature space
 and sharpened by a power, which keeps it positive definite. An insult with gaps or inserted characters keeps most of
 its triples, at some decay, so it stays close to the plain one.
 
-Landmarks are character strings that labelled toxic documents hold far more often than clean ones. A document's
-similarities to a landmark are the largest over its tokens and the logarithm of the sum over its distinct tokens
-(whole text; runs of single characters are also read as one token, very long tokens through overlapping windows).
-Both are whitened by the landmarks' own kernel matrix (Nyström) and a linear SVM with class weights, solved by dual
-coordinate descent, gives the margin.
+A document is the set of its strings: its distinct tokens (whole text; runs of single characters are also read as one
+token, very long tokens through overlapping windows). The kernel of two documents is the sum of the kernels of their
+strings. Landmarks are strings that labelled toxic documents hold far more often than clean ones. The Nyström features
+of a document are the sums of its strings' kernels with the landmarks, whitened by the landmarks' own kernel matrix;
+a linear SVM with class weights, solved by Newton steps, gives the margin.
 
 Learning reads a bounded sample of labelled rows, ``sample`` rows (a parameter), the first by a hash of the id;
-everything else covers all rows.
+everything else covers all rows. The power, the number of landmarks, the class weights and the cost are chosen inside the rows that may be learned from:
+landmarks and a trial machine come from three quarters of them, and the settings that tell both classes best on the last
+quarter count. The held-out rows have no part in any of it.
 
 Defined cases: null is the empty text, which gets the score of a text without any similarity; every row gives a row,
-repeated rows too; labels that are null, or of rows whose id is null, are not learned from; without both classes to
-learn from the score is the one class's label, or 0; other columns of the input are not looked at.
+repeated rows too; labels that are null, or of rows whose id is null, are not learned from; of rows with one id the
+first text is learned from; without both classes to learn from the score is the one class's label, or 0; other columns
+of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,21 +33,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import as_text, held_out, learnable, slices
+from docmill.llm.common import derived, held_out, kept_rows, learnable, text_slices
 from docmill.llm.simhash import shingle_hashes
 from docmill.session import checkpointed
 
 SPAN = 6  # of a triple, at most
 DECAY = 0.75
-POWER = 2
-FLOOR = 0.3  # lower similarities count as none
+POWERS = (4, 6)  # to choose from
+COSTS = (0.5, 5.0, 50.0)  # of the SVM, to choose from
+NUMBERS = (16, 48)  # of landmarks, to choose from, the most telling first
+WEIGHTS = (0.0, 0.5)  # powers of how rare a class is, to choose from
 LONGEST = 24  # of a token read at once
 GRAMS = (4, 5, 6, 7, 8, 9)  # lengths of strings that can be landmarks
-LANDMARKS = 48
 SAMPLE = 12_000
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 STRIP = string.punctuation
@@ -126,8 +130,8 @@ class Kernel:
         self.weights = np.array([w for _, w in pairs])
 
     def similarities(self, strings: list[str]) -> np.ndarray:
-        """A row for each string, a column for each landmark; sharpened."""
-        out = np.zeros((len(strings), len(self.landmarks)))
+        """A row for each string, a column for each landmark."""
+        out = np.zeros((len(strings), len(self.landmarks)), np.float32)
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
             by_length.setdefault(len(s), []).append(i)
@@ -146,74 +150,89 @@ class Kernel:
                 cell = np.repeat(row[hit], sizes) * len(self.landmarks) + self.columns[pair]
                 dots = np.bincount(cell, np.repeat(weight[hit], sizes) * self.weights[pair], len(part) * len(self.landmarks))
                 out[part] = dots.reshape(len(part), -1) / length[:, None]
-        return np.where(out >= FLOOR, out, 0.0) ** POWER
+        return out
 
 
 class Pooler:
-    """Documents' similarities to landmarks; keeps what it knows of tokens while a task runs."""
+    """Sums of documents' kernels with the landmarks; keeps what it knows of strings while a task runs."""
 
-    def __init__(self, landmarks: list[str], keep: int = 400_000):
-        self.kernel, self.keep = Kernel(landmarks), keep
-        self.plain: set[str] = set()
-        self.near: dict[str, np.ndarray] = {}
+    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = 150_000):
+        self.kernel, self.powers, self.keep = Kernel(landmarks), powers, keep
+        self.rows: dict[str, list[int]] = {}  # of a token, the rows of its strings
+        self.values = np.zeros((0, len(landmarks)), np.float32)
 
     def pool(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: for each power, a column for each landmark."""
+        if len(self.rows) > self.keep:
+            self.rows, self.values = {}, self.values[:0]
         found = [tokens(x) for x in texts]
-        new = sorted(set().union(*found) - self.plain - self.near.keys())
-        strings = [(t, p) for t in new for p in pieces(t)]
-        values = self.kernel.similarities([p for _, p in strings])
-        for i in np.flatnonzero(values.any(axis=1)).tolist():
-            token = strings[i][0]
-            self.near[token] = np.maximum(self.near.get(token, 0.0), values[i])
-        self.plain.update(t for t in new if t not in self.near)
-        n = len(self.kernel.landmarks)
-        out = np.zeros((len(texts), 2 * n))
-        for i, f in enumerate(found):
-            if hits := [self.near[t] for t in sorted(f & self.near.keys())]:
-                out[i, :n], out[i, n:] = np.max(hits, axis=0), np.log1p(np.sum(hits, axis=0)) / 2
-        if len(self.plain) + len(self.near) > self.keep:
-            self.plain, self.near = set(), {}
-        return out
+        new = sorted(set().union(*found) - self.rows.keys())
+        read, at = [], len(self.values)
+        for t in new:
+            self.rows[t] = list(range(at + len(read), at + len(read) + len(of := pieces(t))))
+            read += of
+        self.values = np.concatenate([self.values, self.kernel.similarities(read)])
+        out = np.zeros((len(texts), len(self.powers), len(self.kernel.landmarks)))
+        rows = [np.array(sorted({r for t in f for r in self.rows[t]}), np.int64) for f in found]
+        full = np.flatnonzero([len(r) for r in rows])
+        for part in np.split(full, range(64, len(full), 64)):
+            if len(part):
+                starts = np.cumsum([0, *(len(rows[i]) for i in part)])[:-1]
+                values = self.values[np.concatenate([rows[i] for i in part])]
+                for k, power in enumerate(self.powers):
+                    out[part, k] = np.add.reduceat(values**power, starts, axis=0)
+        return out.reshape(len(texts), -1)
 
 
 @dataclass(frozen=True)
 class Model:
     landmarks: list[str]
-    weights: np.ndarray  # of pooled similarities; the whitening is multiplied in
+    power: int
+    weights: np.ndarray  # of summed kernels; the whitening is multiplied in
     bias: float
 
-    def scores(self, pooled: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(2 * (pooled @ self.weights + self.bias), -50, 50)))
+    def scores(self, summed: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(2 * (summed @ self.weights + self.bias), -50, 50)))
 
+    def scorer(self):
+        pooler = Pooler(self.landmarks, (self.power,))
+        return lambda texts: self.scores(pooler.pool(texts))
 
-def one_of_copies(rows: DataFrame) -> DataFrame:
-    """The first of the sample's rows (text, toxic) that have one min-hash of word triples: most near copies go."""
 
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(sketch=[f"{min(shingle_hashes(as_text(x)), default=0):016x}" for x in f["text"].tolist()])
+def one_of_copies(rows: DataFrame, sketches: int = 4) -> DataFrame:
+    """The first of the sample's rows (text, toxic, trial) that share one of a few min-hashes of word triples: near copies
+    go, but for one in some hundred."""
+    odd = [2 * 0x9E3779B97F4A7C15 * (i + 1) + 1 for i in range(sketches)]
 
-    sketched = rows.mapInPandas(sketch, "text string, toxic int, sketch string")
-    return sketched.groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    def sketch(texts: list[str]) -> list:
+        hashes = [np.array(shingle_hashes(x) or [0], np.uint64) for x in texts]
+        return [[[int((h * np.uint64(o % 2**64)).min()) >> 1 for o in odd] for h in hashes]]
+
+    kept = derived(rows.withColumn("copy", F.col("text")), "sketch array<bigint>", lambda: sketch)
+    for i in range(sketches):
+        row = F.min(F.struct("copy", "trial", "sketch")).alias("x")
+        kept = kept.groupBy(F.col("sketch")[i].alias("one"), "toxic").agg(row).select("toxic", "x.*")
+    return kept.select(F.col("copy").alias("text"), "toxic", "trial")
 
 
 def string_counts(rows: DataFrame) -> DataFrame:
     """(gram, toxic, clean, tokens): the documents of either kind that hold a string in one of their tokens, and the
     tokens of toxic documents that hold it."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, held = Counter(), Counter(), Counter()
-        for f in frames:
-            for text, label in zip(f["text"].tolist(), f["toxic"].tolist()):
-                marked = [p for t in tokens(as_text(text)) for p in pieces(t)]
+        for batch, texts in text_slices(batches):
+            for text, label in zip(texts, batch.column(1).to_pylist()):
+                marked = [p for t in tokens(text) for p in pieces(t)]
                 grams = [p[i : i + n] for p in marked for n in GRAMS for i in range(len(p) - n + 1)]
                 (toxic if label else clean).update(set(grams))
                 if label:
                     held.update(grams)
         if grams := sorted({*toxic, *clean}):
-            yield pd.DataFrame({"gram": grams, "toxic": [toxic[g] for g in grams], "clean": [clean[g] for g in grams], "tokens": [held[g] for g in grams]})
+            counts = [pa.array([c[g] for g in grams], pa.int64()) for c in (toxic, clean, held)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams), *counts], ["gram", "toxic", "clean", "tokens"])
 
-    counted = rows.mapInPandas(count, "gram string, toxic long, clean long, tokens long")
+    counted = rows.select("text", "toxic").mapInArrow(count, "gram string, toxic long, clean long, tokens long")
     return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "tokens")])
 
 
@@ -222,8 +241,8 @@ def pick_landmarks(counts: DataFrame, n_toxic: int, n_clean: int, most: int) ->
     about the same counts, which are parts of one word, only the first."""
     often = F.col("toxic") / n_toxic >= 5 * (F.col("clean") + 0.5) / n_clean
     purity = F.col("toxic") / (F.col("toxic") + F.col("clean") * (n_toxic / n_clean))
-    best = counts.filter((F.col("toxic") >= max(3, int(n_toxic**0.5 / 4), n_toxic // 200)) & often)
-    best = best.orderBy(F.desc(F.round(F.col("tokens") * purity * purity, 6)), F.desc(F.length("gram")), "gram").limit(20 * most).collect()
+    best = counts.filter((F.col("toxic") >= max(3, int(n_toxic**0.5 / 2), n_toxic // 100)) & often)
+    best = best.orderBy(F.desc(F.round(F.col("toxic") * purity * purity, 6)), F.desc(F.length("gram")), "gram").limit(20 * most).collect()
     picked: dict[str, int] = {}
     for r in best:
         parts = {r["gram"][i : i + 3] for i in range(len(r["gram"]) - 2)}
@@ -233,78 +252,103 @@ def pick_landmarks(counts: DataFrame, n_toxic: int, n_clean: int, most: int) ->
     return list(picked)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.5, epochs: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM (hinge loss, classes weighted by the root of how rare they are), by dual coordinate descent."""
+def train_svm(x: np.ndarray, y: np.ndarray, rare: float = 0.5, cost: float = 0.5, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM (squared hinge loss, classes weighted by a power of how rare they are), by Newton
+    steps over the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    bounds = cost * (len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))) ** 0.5
-    norms, alpha, w = (x**2).sum(axis=1), np.zeros(len(y)), np.zeros(x.shape[1])
-    rng = np.random.default_rng(0)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(len(y)).tolist():
-            a = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norms[i], 0.0), bounds[i])
-            if a != alpha[i]:
-                w += (a - alpha[i]) * y[i] * x[i]
-                moved = max(moved, abs(a - alpha[i]))
-                alpha[i] = a
-        if moved < 1e-4:
+    costs = cost * (len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))) ** rare
+    value = lambda w: w @ w / 2 + costs @ np.maximum(1 - y * (x @ w), 0) ** 2
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        inside = y * (x @ w) < 1
+        part = x[inside] * costs[inside, None]
+        step = np.linalg.solve(np.eye(len(w)) + 2 * part.T @ x[inside], 2 * part.T @ y[inside]) - w
+        size = next((s for s in 0.5 ** np.arange(20) if value(w + s * step) < value(w)), 0.0)
+        w = w + size * step
+        if size * np.abs(step).max() < 1e-7:
             break
     return w[:-1], float(w[-1])
 
 
+def whitening(landmarks: list[str], power: int) -> np.ndarray:
+    """The inverse square root of the landmarks' kernel matrix, without directions it hardly has (Nyström)."""
+    kernel = Kernel(landmarks).similarities(landmarks).astype(float) ** power
+    values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
+    use = values > 1e-4 * values.max()
+    return vectors[:, use] @ np.diag(values[use] ** -0.5) @ vectors[:, use].T
+
+
+def merit(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Mean of the shares of both classes that are told right, then the logistic loss, negative."""
+    right = [(c * margins[y == c] > 0).mean() for c in (-1, 1)]
+    return float(np.mean(right)), -float(np.logaddexp(0, -2 * y * margins).mean())
+
+
 def pooled(rows: DataFrame, landmarks: list[str]) -> DataFrame:
-    """``rows`` (text, toxic) as (toxic, similarities), each also with insertions."""
+    """(toxic, trial, x) for the rows (text, toxic, trial) and for each of them with insertions: sums for all powers."""
 
-    def pool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pooler = Pooler(landmarks)
-        for f, texts in slices(frames, "text", 1_000_000):
-            yield pd.DataFrame({"toxic": f["toxic"].values, "x": pooler.pool(texts).tolist()})
-            yield pd.DataFrame({"toxic": f["toxic"].values, "x": pooler.pool([*map(with_insertions, texts)]).tolist()})
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler = Pooler(landmarks, POWERS)
+        for batch, texts in text_slices(batches):
+            for read in (texts, [*map(with_insertions, texts)]):
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pooler.pool(read).tolist(), pa.list_(pa.float64()))], ["toxic", "trial", "x"])
 
-    return rows.mapInPandas(pool, "toxic int, x array<double>")
+    return rows.select("text", "toxic", "trial").mapInArrow(pool, "toxic int, trial boolean, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LANDMARKS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = max(NUMBERS)) -> Model:
     """A model from the labelled rows that may be learned from, ``sample`` of them at most, a third of them toxic."""
     usable = labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isNotNull())
     usable = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = lambda toxic, n: usable.filter(F.col("toxic") == toxic).orderBy(*first).limit(n)
     chosen = part(1, sample // 3).union(part(0, sample - sample // 3))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most ``sample`` short rows
+    chosen = chosen.withColumn("trial", F.crc32(F.col("doc_id").cast("string")) % 5 == 4)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
+    rows = met.groupBy("doc_id", "toxic", "trial").agg(F.min("text").alias("text")).select("text", "toxic", "trial")
     rows = checkpointed(one_of_copies(rows))
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    known = rows.filter(~F.col("trial"))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return Model([], np.zeros(0), 25.0 if sizes.get(1) else -25.0)
-    landmarks = pick_landmarks(string_counts(rows), sizes[1], sizes[0], most)
+        return Model([], 1, np.zeros(0), 25.0 if rows.filter("toxic = 1").head(1) and not rows.filter("toxic = 0").head(1) else -25.0)
+    landmarks = pick_landmarks(string_counts(known), sizes[1], sizes[0], most)
     if not landmarks:
-        return Model([], np.zeros(0), -25.0)
-    found = pooled(rows.select("text", "toxic"), landmarks).toPandas()  # 2 * ``sample`` rows at most, a number for each landmark
-    x, y = np.array(found["x"].tolist()).reshape(len(found), -1), np.where(found["toxic"].to_numpy() > 0, 1.0, -1.0)
-    values, vectors = np.linalg.eigh(Kernel(landmarks).similarities(landmarks))
-    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    whiten = np.kron(np.eye(2), whiten)  # for the largest and for the sums
-    order = np.lexsort(np.column_stack([x, y]).T)  # the rows' order doesn't matter
-    weights, bias = train_svm(x[order] @ whiten, y[order])
-    return Model(landmarks, whiten @ weights, bias)
+        return Model([], 1, np.zeros(0), -25.0)
+    found = pooled(rows, landmarks).toArrow()  # 2 * ``sample`` rows at most, a number for each landmark and power
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(len(found), len(POWERS), -1)
+    y, trial = np.where(found["toxic"].to_numpy() > 0, 1.0, -1.0), found["trial"].to_numpy()
+    order = np.lexsort(np.column_stack([x[:, 0], y]).T)  # the rows' order doesn't matter
+    x, y, trial = x[order], y[order], trial[order]
+    choices = list(itertools.product(range(len(POWERS)), NUMBERS, WEIGHTS, COSTS))
+
+    def fitted(choice: tuple, rows: np.ndarray) -> tuple[np.ndarray, float]:
+        k, n, rare, cost = choice
+        whiten = whitening(landmarks[:n], POWERS[k])
+        weights, bias = train_svm(x[rows, k, :n] @ whiten, y[rows], rare, cost)
+        return whiten @ weights, bias
+
+    def tried(choice: tuple) -> tuple[float, float]:
+        weights, bias = fitted(choice, ~trial)
+        return merit(x[trial, choice[0], : choice[1]] @ weights + bias, y[trial])
+
+    both = len(set(y[trial])) > 1 and len(set(y[~trial])) > 1
+    best = max(choices, key=tried) if both else choices[0]
+    weights, bias = fitted(best, np.full(len(y), True))
+    k, n = best[:2]
+    return Model(landmarks[:n], POWERS[k], weights, bias)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_toxicity``, the score from 0 to 1."""
-    names = docs.columns
+    """(doc_id, score) for each row of ``docs``; the score is from 0 to 1."""
+    return derived(docs.select("doc_id", "text"), "score double", lambda: (lambda score: lambda texts: [score(texts)])(model.scorer()))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pooler = Pooler(model.landmarks)
-        for f, texts in slices(frames, "text", 1_000_000):
-            yield f.assign(_toxicity=model.scores(pooler.pool(texts)))[[*names, "_toxicity"]]
 
-    schema = docs.select(*names, F.lit(0.0).cast("double").alias("_toxicity")).schema
-    return docs.mapInPandas(score, schema)
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose score is under one half, with all their columns."""
+    return kept_rows(docs, lambda: (lambda score: lambda texts: (score(texts) < 0.5).tolist())(model.scorer()))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = F.col("_toxicity")
-    found = toxicity(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    found = toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

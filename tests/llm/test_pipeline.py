@@ -6,9 +6,24 @@ import corpus_pipeline
 from docmill.llm import mixing, secret_scan
 
 STAGE = dict(corpus_pipeline.STAGES)
+BIG = 2**53 + 1
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
 
+def test_large_ids_and_clashing_names(spark, tmp_path):
+    """Ids over 2**53 beside null ones, and columns with the names that operators use, pass every stage as they are."""
+    rows = [(BIG + i, f"text number {i} of those that are kept", None if i % 2 else "s", i if i % 3 else None, 0.5, "x") for i in range(20)]
+    rows.append((None, None, None, None, None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, _toxicity double, score string")
+    docs = docs.withColumnRenamed("score", "a.b").selectExpr("*", "n_chars as _fp", "`a.b` as root")
+    spark.createDataFrame([(BIG, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("k", "an item that no text holds")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, docs.collect())), name
+    assert {r["doc_id"] for r in STAGE["mixing"](spark, docs, str(tmp_path)).collect()} <= {r[0] for r in rows}
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(0)
     word = lambda: "".join(rng.choices(["an", "er", "th", "ou", "st", "li"], k=rng.randint(1, 4)))

@@ -75,7 +75,9 @@ def test_windows_equal_direct_entropy():
 def test_entropy_finds_keys_and_spares_words():
     key = "q8Zr2LwX7pTn4VkB9sYd"
     assert ("entropy", 4, 24) in secret_scan.find_secrets(f"use {key} now")
-    for harmless in ("Donaudampfschifffahrtsgesellschaft", "123e4567-e89b-12d3-a456-426614174000", "-" * 60, "your_q8Zr2LwX7pTn4VkB9s"):
+    for found in ("/example/path/aB3dE5fG7hJ9kL1mN3pQ", "qZrLwXpTnVkBsYdGhJfM", "sha256-x/q8Zr2LwX7pTn4VkB9sYd=/k3Jd8Wn1Zb5Q"):
+        assert [k for k, *_ in secret_scan.find_secrets(f"see {found} there")] == ["entropy"]
+    for harmless in ("python3/site-packages/CamelCaseNamesOfClasses", "Donaudampfschifffahrtsgesellschaft", "123e4567-e89b-12d3-a456-426614174000", "-" * 60, "your_q8Zr2LwX7pTn4VkB9s"):
         assert secret_scan.find_secrets(f"see {harmless} there") == []
     assert secret_scan.redact(f"a {key}.", [("entropy", 2, 22), ("hex", 4, 9)]) == "a [SECRET]."
 
@@ -88,10 +90,11 @@ def test_added_personal_kinds():
 
 
 def test_operators_on_odd_rows(spark):
-    rows = [(1, "mail a@b.co", "x"), (1, "mail a@b.co", "x"), (None, None, None), (2, "", "y"), (3, "x" * 300_000 + " token=abcdef", "z")]
+    big = 2**53 + 1
+    rows = [(big, "mail a@b.co", "x"), (big, "mail a@b.co", "x"), (None, None, None), (2, "", "y"), (3, "x" * 300_000 + " token=abcdef", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = [tuple(r) for r in pii.personal_spans(docs).collect()]
-    assert sorted((d or 0, len(s)) for d, s in got) == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 0)]
+    assert sorted((d or 0, len(s)) for d, s in got) == [(0, 0), (2, 0), (3, 0), (big, 1), (big, 1)]
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.secret_spans(docs).collect()}
     assert got[3] == [("assign", 300_001, 300_013)] and got[None] == []
     assert pii.personal_spans(docs.limit(0)).count() == secret_scan.secret_spans(docs.limit(0)).count() == 0
