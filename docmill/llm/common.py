@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -29,16 +30,17 @@ def learnable(doc_id: Column, folds: int = 5) -> Column:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1_000_000, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive rows of some ``chars`` characters (one row at least, ``rows`` at most), with their texts; null is the
+    """Consecutive rows of some ``chars`` bytes of text (one row at least, ``rows`` at most), with their texts; null is the
     empty text. All rows come out in the end: the bounds only keep arrays small."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        ends = np.cumsum([len(x) for x in texts])
+        column = batch.schema.get_field_index(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
+        while at < len(batch):
             base = ends[at - 1] if at else 0
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + chars, side="right"))))
-            yield batch.slice(at, to - at), texts[at:to]
+            part = batch.slice(at, to - at)
+            yield part, [x or "" for x in part.column(column).to_pylist()]
             at = to
 
 

@@ -219,6 +219,11 @@ def string_counts(rows: DataFrame) -> DataFrame:
     """(gram, toxic, clean, tokens): the documents of either kind that hold a string in one of their tokens, and the
     tokens of toxic documents that hold it."""
 
+    def sums(toxic: Counter, clean: Counter, held: Counter) -> pa.RecordBatch:
+        grams = [*toxic, *(g for g in clean if g not in toxic)]
+        counts = [pa.array([c[g] for g in grams], pa.int64()) for c in (toxic, clean, held)]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *counts], ["gram", "toxic", "clean", "tokens"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, held = Counter(), Counter(), Counter()
         for batch, texts in text_slices(batches):
@@ -228,9 +233,10 @@ def string_counts(rows: DataFrame) -> DataFrame:
                 (toxic if label else clean).update(set(grams))
                 if label:
                     held.update(grams)
-        if grams := sorted({*toxic, *clean}):
-            counts = [pa.array([c[g] for g in grams], pa.int64()) for c in (toxic, clean, held)]
-            yield pa.RecordBatch.from_arrays([pa.array(grams), *counts], ["gram", "toxic", "clean", "tokens"])
+                if len(toxic) + len(clean) > 200_000:  # Spark adds the parts up
+                    yield sums(toxic, clean, held)
+                    toxic, clean, held = Counter(), Counter(), Counter()
+        yield sums(toxic, clean, held)
 
     counted = rows.select("text", "toxic").mapInArrow(count, "gram string, toxic long, clean long, tokens long")
     return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "tokens")])
