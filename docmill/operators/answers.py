@@ -5,6 +5,7 @@ Hits as in ``ranking``; chunks are (doc_id, doc_name, section, chunk_index, text
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ BRIEF_FIELDS = ["事项名称(.{2,40}?)(?:日常用语|事项类型|承诺办结
 @F.pandas_udf(IntegerType())
 def rows_in(text: pd.Series) -> pd.Series:
     """The number of rows in a table of materials."""
-    return text.map(lambda t: len(extraction.table_rows(t or "")))
+    return pd.Series(np.bincount(extraction.table_items(text)["text"].astype(int), minlength=len(text)))
 
 
 def sibling_rank(text: Column, n_rows: Column) -> Column:
@@ -91,10 +92,10 @@ def prompts(questions: DataFrame, hits: DataFrame, turns: DataFrame) -> DataFram
     return q.select("question_id", prompt.alias("prompt"))
 
 
-def answers(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generated: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
+def answers(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generated: DataFrame | None = None, degraded: bool = False, p: Params = DEFAULTS) -> DataFrame:
     """(question_id, route, answer, hit): by route a refusal, a guide, or an answer: what was ``generated``
     (question_id, answer) for the question, else what the hits say."""
-    routed = ranking.routes(questions, hits, p=p)
+    routed = ranking.routes(questions, hits, degraded, p)
     good = hits.filter(ranking.is_relevant(p))
     told = extraction.extractive_answers(good).withColumnRenamed("answer", "said")
     guided = guide_answers(good, chunks).withColumnRenamed("answer", "guide")

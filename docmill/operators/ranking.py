@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docmill import rules
-from docmill.functions.text import any_in, is_table, snippet
+from docmill.functions.text import any_in, snippet
+from docmill.operators.extraction import items_of
 from docmill.rules import DEFAULTS, Params
 
 
@@ -97,23 +98,31 @@ def enrich(hits: DataFrame, candidates: DataFrame, k: int, p: Params = DEFAULTS)
     """
     best = hits.groupBy("question_id").agg(F.max("score").alias("_top"), F.min_by("doc_id", "pos").alias("_doc"))
     extra = candidates.filter(F.col("section").isin(rules.STRUCTURED_SECTIONS)).join(best, "question_id").filter(F.col("doc_id") == F.col("_doc"))
-    material = any_in(F.col("section"), rules.MATERIAL_SECTIONS) & is_table(F.col("text"))
+    material = any_in(F.col("section"), rules.MATERIAL_SECTIONS) & (F.size(items_of("text")) > 0)
     one = Window.partitionBy("question_id", "section").orderBy(F.desc(material.cast("int")), F.desc("score"), F.desc("pos"))
     extra = extra.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     extra = extra.withColumn("_n", F.row_number().over(of_question().orderBy(F.desc("score"), "pos"))).filter("_n <= 8")
     extra = extra.withColumn("score", F.when(F.col("_top") > 0, F.least("score", F.round(F.col("_top") * p.enrich_cap, 4))).otherwise(F.col("score")))
-    return merge(hits, extra.select(*hits.columns), k + 8)
+    extra = extra.select(*hits.columns)
+    counts = extra.groupBy("question_id").agg(F.count("*").alias("_extra"))
+    merged = merge(hits, extra, k + 8).join(counts, "question_id", "left")
+    return merged.filter(F.col("pos") <= k + F.coalesce("_extra", F.lit(0))).drop("_extra")
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    """Hits without the auxiliary ones, which only complete tables of materials."""
+    return hits.filter(~F.col("is_aux")) if "is_aux" in hits.columns else hits
 
 
 def sources(hits: DataFrame) -> DataFrame:
     """(question_id, pos, doc_name, section, snippet, score) of hits, for showing."""
-    return hits.select("question_id", "pos", "doc_name", "section", snippet(F.col("text")).alias("snippet"), F.round("score", 4).alias("score"))
+    return shown(hits).select("question_id", "pos", "doc_name", "section", snippet(F.col("text")).alias("snippet"), F.round("score", 4).alias("score"))
 
 
 def contexts(hits: DataFrame) -> DataFrame:
     """(question_id, context): each question's hits in order as one text."""
     line = F.format_string("[%d] %s / %s\n%s", F.col("pos"), F.col("doc_name"), F.col("section"), F.col("text"))
-    listed = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))  # k hits
+    listed = shown(hits).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))  # k hits
     return listed.select("question_id", F.array_join(F.transform("x", lambda h: h["line"]), "\n\n").alias("context"))
 
 

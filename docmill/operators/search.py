@@ -6,8 +6,15 @@ Scores have six decimals; ties are always broken by the smaller chunk_id.
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docmill.functions.text import let, tokens
 from docmill.rules import DEFAULTS, Params
@@ -27,22 +34,29 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count("*").alias("df"))
 
 
+#: Distinct tokens of questions up to which they are broadcast.
+BROADCAST_TOKENS = 500_000
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(question_id, chunk_id, score) of each pair that shares a token; a question's tokens count once.
 
-    The number of chunks and their mean length are two numbers; postings meet the questions' tokens in a join on the
-    token, which adaptive execution splits where a token is in very many chunks.
+    Texts are cut into tokens once; only the tokens that questions ask for go on, with their chunk's length beside them,
+    and are counted before they move. The number of chunks and their mean length are two numbers. Postings meet the
+    questions' tokens in a join on the token, which adaptive execution splits where a token is in very many chunks.
     """
-    sizes = lengths(chunks)
-    n, mean = sizes.agg(F.count("*"), F.avg("dl")).first()
-    posted = postings(chunks)
+    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("ts"))
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    df = F.col("df")
-    weights = document_frequencies(posted).select("token", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
-    wanted = asked.join(weights, "token")
-    length = F.greatest(F.col("dl"), F.lit(1)) / F.lit(mean or 1.0)
-    part = F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * length))
-    met = posted.join(sizes, "chunk_id").join(wanted, "token")
+    wanted = asked.select("token").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted
+    cut = rows.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
+    posted = cut.join(wanted, "token", "left_semi").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+    whole = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean"))
+    df = document_frequencies(posted)
+    met = posted.join(asked.join(df, "token"), "token").join(F.broadcast(whole))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.greatest(F.col("dl"), F.lit(1)) / F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0))
+    part = idf * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * length))
     return met.select("question_id", "chunk_id", part.alias("x")).groupBy("question_id", "chunk_id").agg(F.round(F.sum("x"), 6).alias("score"))
 
 
@@ -61,37 +75,57 @@ def normalized(v: Column) -> Column:
     return let(dot(v, v), lambda n: F.transform(v.cast("array<double>"), lambda x: F.when(n > 0, x / F.sqrt(n)).otherwise(x)))
 
 
-def cosine(chunks: DataFrame, questions: DataFrame, shards: int = 64) -> DataFrame:
-    """(question_id, chunk_id, score) of every pair, vectors being of length 1.
+#: Numbers in the questions' vectors up to which they are broadcast (80 MB).
+BROADCAST_NUMBERS = 10_000_000
+
+
+def cosine(chunks: DataFrame, questions: DataFrame, rows_of_shard: int = 20_000) -> DataFrame:
+    """(question_id, chunk_id, score) of every pair, vectors being of length 1: a stated set of questions against all
+    chunks.
 
-    Chunks are dealt out by a hash of their id, and each question goes to every shard, so that pairs are made where
-    the chunks are, evenly; what follows should cut to the best of each question, which happens before any shuffle.
+    Questions are broadcast where they are few, so that chunks stay where they are; else chunks are dealt out, as many
+    to a shard as given, and each question goes to every shard. What follows should cut to the best of each question,
+    which happens before any shuffle.
     """
+    n, longest = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    score = F.round(dot(F.col("embedding"), F.col("wanted")), 6).alias("score")
+    asked = questions.select("question_id", F.col("embedding").alias("wanted"))
+    if n * max(longest or 0, 1) <= BROADCAST_NUMBERS:
+        return chunks.select("chunk_id", "embedding").join(F.broadcast(asked)).select("question_id", "chunk_id", score)
+    shards = max(1, -(-chunks.count() // rows_of_shard))
     dealt = chunks.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"))
-    asked = questions.select("question_id", F.col("embedding").alias("wanted"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    return dealt.join(asked, "shard").select("question_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("wanted")), 6).alias("score"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    return dealt.join(asked, "shard").select("question_id", "chunk_id", score)
 
 
 def hashed_vectors(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
-    """(key, embedding): character n-grams of one to three, hashed by MD5 to dimensions, longer ones weighing more."""
+    """(key, embedding): character n-grams of one to three, hashed by MD5 to dimensions, longer ones weighing more.
+
+    Each row makes its own vector, in Arrow batches, without a shuffle.
+    """
     flat = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
 
-    def of_length(t: Column, n: int) -> Column:
-        mark = F.lit("#") if n == 1 else F.lit("")
-        found = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.concat(mark, F.substring(t, i, F.lit(n))))
-        return F.when(F.length(t) >= n, found).otherwise(F.array().cast("array<string>"))
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def summed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets: dict[str, int] = {}
+        for batch in texts:
+            yield batch.map(lambda t: bucket_sums(t, dims, buckets))
+            if len(buckets) > 1_000_000:
+                buckets.clear()
+
+    return rows.select(key, summed(flat).alias("embedding"))
+
 
-    grams = let(flat, lambda t: F.flatten(F.array(*[of_length(t, n) for n in (1, 2, 3)])))
-    parts = rows.select(key, F.explode(grams).alias("g")).groupBy(key, "g").agg(F.count("*").alias("n"))
-    bucket = F.conv(F.substring(F.md5(F.encode("g", "UTF-8")), 1, 8), 16, 10).cast("long") % dims
-    # "#c" is two characters long, as long as a pair
-    weighed = parts.select(key, bucket.cast("int").alias("bucket"), (F.col("n") * (1 + 0.3 * (F.length("g") - 1))).alias("w"))
-    sums = weighed.groupBy(key, "bucket").agg(F.sum("w").alias("w"))
-    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # at most ``dims`` entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    vectors = held.select(key, normalized(dense).alias("embedding"))
-    empty = F.array_repeat(F.lit(0.0), dims)
-    return rows.select(key).join(vectors, key, "left").select(key, F.coalesce("embedding", empty).alias("embedding"))
+def bucket_sums(text: str, dims: int, buckets: dict[str, int]) -> list[float]:
+    """Unit vector of a text's n-grams ("#c" for one character, which weighs as much as a pair); ``buckets`` keeps those known."""
+    grams = Counter(["#" + c for c in text] + [text[i : i + n] for n in (2, 3) for i in range(len(text) - n + 1)])
+    sums = [0.0] * dims
+    for gram, n in grams.items():
+        if gram not in buckets:
+            buckets[gram] = int(hashlib.md5(gram.encode("utf-8", "replace")).hexdigest()[:8], 16) % dims
+        sums[buckets[gram]] += n * (1 + 0.3 * (len(gram) - 1))
+    length = math.sqrt(sum(x * x for x in sums)) or 1.0
+    return [x / length for x in sums]
 
 
 def fused(vector: Column, keyword: Column, strong: Column, p: Params = DEFAULTS) -> Column:
@@ -110,13 +144,18 @@ def hybrid_exact(chunks: DataFrame, questions: DataFrame, k: int = DEFAULTS.top_
 
     Chunks have (chunk_id, doc_id, section, text, embedding).
     """
+    n = max(5 * k, 15)
     keyword = bm25(chunks, questions, p).withColumnRenamed("score", "keyword_score")
     strong = keyword.groupBy("question_id").agg((F.max("keyword_score") >= p.keyword_min).alias("strong"))
-    pairs = cosine(chunks, questions).withColumnRenamed("score", "vector_score")
-    pairs = pairs.join(keyword, ["question_id", "chunk_id"], "left").join(strong, "question_id", "left")
+    near = top(cosine(chunks, questions), n).select("question_id", "chunk_id")
+    # a pair without a keyword score ranks by its vector alone, so the pool is among those with one and the nearest n
+    pairs = keyword.join(near, ["question_id", "chunk_id"], "full")
+    pairs = pairs.join(chunks.select("chunk_id", "doc_id", "section", "embedding"), "chunk_id")
+    pairs = pairs.join(questions.select("question_id", F.col("embedding").alias("wanted")), "question_id").join(strong, "question_id", "left")
+    pairs = pairs.withColumn("vector_score", F.round(dot(F.col("embedding"), F.col("wanted")), 6)).drop("embedding", "wanted")
     pairs = pairs.fillna({"keyword_score": 0.0, "strong": False})
     scored = pairs.withColumn("score", fused(F.col("vector_score"), F.col("keyword_score"), F.col("strong"), p))
-    pool = top(scored, max(5 * k, 15)).drop("pos", "strong").join(chunks.select("chunk_id", "doc_id", "section"), "chunk_id")
+    pool = top(scored, n).drop("pos", "strong")
     return first_of_section(pool.filter(F.col("doc_id") == wanted_doc) if wanted_doc is not None else pool, k)
 
 

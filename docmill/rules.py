@@ -38,7 +38,7 @@ STRUCTURED_SECTIONS = ["必备材料", "可选材料", "材料清单", "材料
 MATERIAL_SECTIONS = ["材料清单", "必备材料", "可选材料", "申请材料", "材料名称"]
 BASIS_SECTIONS = ["实施依据", "设定依据", "法律依据", "政策依据"]
 BASIS_QUESTION = ["依据", "法规", "条例", "文号", "根据"]
-#: (words of a question, parts of a section's name, boost)
+# Fixed values: (words of a question, parts of a section's name, boost)
 INTENTS = [
     (["材料", "清单", "需要", "哪些", "准备", "带什么", "提交"], ["材料清单", "必备材料", "可选材料", "申请材料", "材料名称"], 1.35),
     (["流程", "步骤", "怎么办理", "如何办理", "怎么办", "如何办", "程序", "网上办"], ["办理流程", "网上办理流程", "线下办理流程", "审批信息"], 1.35),
@@ -48,7 +48,7 @@ INTENTS = [
     (["部门", "哪里办", "在哪", "哪个部门", "地址", "窗口", "咨询"], ["受理部门", "咨询方式", "基础信息"], 1.30),
     (["依据", "根据", "法规", "条例", "文号", "政策文件"], ["实施依据", "设定依据"], 1.35),
 ]
-#: (words of a question, the term to add)
+# Fixed values: (words of a question, the term to add)
 SYNONYMS = [
     (["续期", "到期", "延期", "续签", "换证", "过期"], "签注"),
     (["过户", "二手房", "买卖房屋"], "转移登记"),
@@ -56,6 +56,13 @@ SYNONYMS = [
     (["改名", "更名", "换名", "改字号", "换字号"], "变更登记"),
     (["不想开", "不开了", "不干了", "不经营", "关门", "歇业", "停业", "倒闭", "注销"], "注销登记"),
 ]
+# Words of questions that ask for structured facts.
+STRUCTURED_INTENT = [
+    "材料", "清单", "需要", "哪些", "准备", "流程", "步骤", "怎么办", "如何办", "怎么办理", "如何办理", "在哪办", "怎么",
+    "时限", "多久", "几天", "工作日", "办结", "什么时候", "收费", "多少钱", "费用", "要钱吗", "免费", "条件", "资格", "能不能", "符合",
+    "部门", "哪里办", "在哪", "哪个部门", "地址", "窗口", "咨询", "依据", "法规", "条例", "文号",
+    "办什么", "要办", "办理", "办哪些", "手续", "申请", "申领", "登记",
+]
 ENTITY_HINTS = [
     "居住证", "签注", "社保", "养老", "保险", "补贴", "资助", "创业", "就业", "失业", "退休", "工伤", "生育", "医疗", "医保", "公积金",
     "营业执照", "个体", "公司", "企业", "开店", "门市", "店铺", "店", "注销", "变更", "设立", "过户", "房屋", "房产", "不动产", "宅基地", "土地",
@@ -75,12 +82,12 @@ PAGE_LINES = [
     r"\s*[-—_.·]{3,}\s*[0-9]+\s*[-—_.·]{3,}\s*",
     r"\s*(页眉|页脚|内部资料|仅供参考)\s*[:：]?\s*",
 ]
-#: Names that are headers or values of a table's cells, and parts that no name has.
-NOISE_NAMES = "名称 类型 材料名称 材料依据 材料形式 材料要求 材料下载 材料类型 其他信息 纸质材料规格 是否免提交 填报须知 示例样本 空白表格 已关联电子证照 原件 复印件 必要 非必要 纸质 电子化 证照 其他 份数 页数 来源渠道 备注 说明 无 否 是 暂无 中介服务".split()
-NOISE_PARTS = "地方特色主题分类 事项主题分类 表示该材料 中介服务 备注信息 服务对象 受理范围 面向自然人 面向法人 已关联电子证照".split()
-NOISE_ROWS = "空白表格 示例样本 填报须知 其他要求 备注 说明 名称 类型 材料名称 材料依据 材料形式 材料要求 材料下载 其他信息 序号 份数 页数 来源渠道 中介服务".split()
-ROW_MARKS = "原件 复印件 纸质 电子化 必要 非必要 已关联电子证照 该材料免提交 材料类型 材料形式 来源渠道 是否免提交 纸质材料规格".split()
+# Names that are headers or values of a table's cells, and parts that no name has.
+NOISE_NAMES = ["名称", "类型", "材料名称", "材料依据", "材料形式", "材料要求", "材料下载", "材料类型", "其他信息", "纸质材料规格", "是否免提交", "填报须知", "示例样本", "空白表格", "已关联电子证照", "原件", "复印件", "必要", "非必要", "纸质", "电子化", "证照", "其他", "份数", "页数", "来源渠道", "备注", "说明", "无", "否", "是", "暂无", "中介服务"]
+NOISE_PARTS = ["地方特色主题分类", "事项主题分类", "表示该材料", "中介服务", "备注信息", "服务对象", "受理范围", "面向自然人", "面向法人", "已关联电子证照"]
+NOISE_ROWS = ["空白表格", "示例样本", "填报须知", "其他要求", "备注", "说明", "名称", "类型", "材料名称", "材料依据", "材料形式", "材料要求", "材料下载", "其他信息", "序号", "份数", "页数", "来源渠道", "中介服务"]
+ROW_MARKS = ["原件", "复印件", "纸质", "电子化", "必要", "非必要", "已关联电子证照", "该材料免提交", "材料类型", "材料形式", "来源渠道", "是否免提交", "纸质材料规格"]
 TABLE_SIGNAL = "原件[：:]|复印件[：:]|纸质/电子化|已关联电子证照|该材料免提交"
-MATERIAL_LEADS = "应提交材料 需提交材料 提交材料 申请材料 所需材料 提交以下材料".split()
-MATERIAL_STOPS = "应核验信息 核验信息 申请程序 办理程序 注意事项 温馨提示 补贴标准 补贴对象 补贴期限 申领期限 申领流程".split()
-STEP_STOPS = "服务对象 事项主题分类 面向自然人 面向法人 自然人 法人 其他主体 社会组织 受理范围 办理地点 审批信息 基础信息 实施依据 其他信息 日常用语 事项类型".split()
+MATERIAL_LEADS = ["应提交材料", "需提交材料", "提交材料", "申请材料", "所需材料", "提交以下材料"]
+MATERIAL_STOPS = ["应核验信息", "核验信息", "申请程序", "办理程序", "注意事项", "温馨提示", "补贴标准", "补贴对象", "补贴期限", "申领期限", "申领流程"]
+STEP_STOPS = ["服务对象", "事项主题分类", "面向自然人", "面向法人", "自然人", "法人", "其他主体", "社会组织", "受理范围", "办理地点", "审批信息", "基础信息", "实施依据", "其他信息", "日常用语", "事项类型"]
