@@ -208,7 +208,8 @@ def material_chunks(spark, sf) -> DataFrame:
     """Documents' words laid out as a table of materials: what the extraction reads."""
     words = F.split("text", r"\s+")
     row = lambda w, i: F.concat(F.lit(""), (i + 1).cast("string"), F.lit("\n材料"), w, F.lit("\n原件："), (i + 1).cast("string"), F.lit("\n复印件：1"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(words, row), "\n").alias("text"))
+    docs = table(spark, sf, "documents").repartition(32, "doc_id")  # small inputs come as one file, which would be one task
+    return docs.select("doc_id", F.array_join(F.transform(words, row), "\n").alias("text"))
 
 
 def extract_rows(spark, sf):
