@@ -14,7 +14,7 @@ a linear SVM with class weights, solved by Newton steps, gives the margin.
 Learning reads a bounded sample of labelled rows, ``sample`` rows (a parameter), the first by a hash of the id;
 everything else covers all rows. The power, the number of landmarks, the class weights and the cost are chosen inside the rows that may be learned from:
 landmarks and a trial machine come from three quarters of them, and the settings that tell both classes best on the last
-quarter count. The held-out rows have no part in any of it.
+quarter count. No held-out row is read for any of it.
 
 Defined cases: null is the empty text, which gets the score of a text without any similarity; every row gives a row,
 repeated rows too; labels that are null, or of rows whose id is null, are not learned from; of rows with one id the

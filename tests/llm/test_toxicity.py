@@ -99,5 +99,5 @@ def test_held_out_accuracy_on_whole_table(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     held = tox.op3_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r["toxic"], r["predicted"]): r["count"] for r in held}
-    # 0.81 and 0.99 as measured once, after the settings were chosen inside the learnable folds; some toxic rows hold no insult
+    # 0.81 and 0.988 as measured; lower than the 0.88 asked of the form before, whose settings were chosen on this fold (README)
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.75 and n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) >= 0.98
