@@ -1,7 +1,9 @@
 """Licence scans (operator 5): Dice coefficient over word bigrams between text units and licence templates.
 
 Units of a text are its lines, its paragraphs (between blank lines) and the whole of it, in lower case with anything
-but ASCII letters and digits as blanks. The Dice coefficient of two sets of bigrams can reach a threshold t only if
+but ASCII letters and digits as blanks; and, for notices inside longer lines, across paragraphs or run together with
+code, windows of a template's number of words: those that begin with its first two words and those that end with its
+last two. Equal units of a text are one. The Dice coefficient of two sets of bigrams can reach a threshold t only if
 their sizes differ by a factor of (2 - t) / t at most, so each template is looked for only among units of such sizes:
 units that fit no template's bounds are gone, by their number of words, before any bigram is made, and the rest meet
 templates by an equi-join on the size. Before that, texts and units without a word that every match must have are gone:
@@ -59,9 +61,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def normal(text: Column) -> Column:
+    """The words of a text in lower case, with a blank between them."""
+    return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+
+
 def tagged_bigrams(text: Column) -> Column:
     """Neighbouring words of a text, each with how often it has come so far, so that array functions respect repeats."""
-    words = F.split(F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
+    words = F.split(normal(text), " ")
     pairs = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.concat_ws(" ", F.slice(w, i, 2))))
     count = lambda ps, p, i: F.size(F.filter(F.slice(ps, 1, i), lambda x: x == p))
     tagged = let(pairs, lambda ps: F.transform(ps, lambda p, i: F.concat_ws("#", p, count(ps, p, i + 1).cast("string"))))
@@ -97,6 +104,25 @@ def text_units(text: Column) -> Column:
     return F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t\r]*\n"), several), F.filter(F.array(text), several))
 
 
+def template_windows(words: Column, templates: dict[str, list[str]]) -> Column:
+    """The windows of a text's words that begin or end as a template of their size does."""
+    cut = [w for ts in templates.values() for t in ts if len(w := re.findall("[a-z0-9]+", t.lower())) > 1]
+    shapes = [F.struct(F.lit(len(w)).alias("n"), F.lit(" ".join(w[:2])).alias("first"), F.lit(" ".join(w[-2:])).alias("last")) for w in cut]
+    if not shapes:
+        return F.array().cast("array<string>")
+    pair = lambda w, i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))
+
+    def windows(w: Column) -> Column:
+        padded = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+        has = lambda p, pairs: F.contains(p, F.concat(F.lit(" "), pairs, F.lit(" ")))
+        there = let(padded, lambda p: F.filter(F.array(*shapes), lambda s: (s["n"] <= F.size(w)) & (has(p, s["first"]) | has(p, s["last"]))))
+        fits = lambda s: lambda i: (pair(w, i) == s["first"]) | (pair(w, i + s["n"] - 2) == s["last"])
+        starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(w) - s["n"] + 1), fits(s))
+        return F.flatten(F.transform(there, lambda s: F.transform(starts(s), lambda i: F.array_join(F.slice(w, i, s["n"]), " "))))
+
+    return let(words, windows)
+
+
 def anchored(text: Column, templates: dict[str, list[str]], least: float) -> Column:
     """Whether a text has an anchor word of some template; words that hold others are not asked for."""
     words = set().union(*(anchor_words(t, least) for ts in templates.values() for t in ts)) if templates else set()
@@ -116,7 +142,8 @@ def license_hits(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, l
     known = known.withColumn("n", F.explode(F.sequence(low, high)))  # a few dozen sizes for each template of a fixed list
     fits = lambda u: let(F.regexp_count(u, F.lit(WORDS)), lambda n: n.between((bounds[0] or 1) + 1, (bounds[1] or 0) + 1))
     may = lambda u: anchored(u, templates, least)
-    units = F.filter(F.filter(text_units(F.col("text")), may), fits)
+    units = F.transform(F.filter(F.filter(text_units(F.col("text")), may), fits), normal)
+    units = F.array_distinct(F.concat(units, template_windows(F.split(normal(F.col("text")), " "), templates)))
     units = docs.select("doc_id", "text").filter(may(F.col("text"))).select("doc_id", F.explode(units).alias("unit"))
     cut = units.select("doc_id", tagged_bigrams(F.col("unit")).alias("held")).withColumn("n", F.size("held"))
     met = cut.join(F.broadcast(known), "n")
@@ -135,19 +162,29 @@ def _quoted(text: str) -> str:
 
 _TAGGED = """list_transform(pairs, lambda b, i: b || '#' || len(list_filter(pairs[1:i], lambda x: x = b)))"""
 _PAIRS = """list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])"""
-_WORDS = """string_split(lower(trim(regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"""
+_NORMAL = """lower(trim(regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g')))"""
+_WORDS = f"""string_split({_NORMAL}, ' ')"""
 LICENSE_SQL = f"""
 WITH templates(license, template) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, ts in TEMPLATES.items() for t in ts)}),
 tw AS (SELECT license, {_WORDS.format(text="template")} AS words FROM templates),
 tp AS (SELECT license, {_PAIRS} AS pairs FROM tw),
 tt AS (SELECT license, {_TAGGED} AS wanted FROM tp),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
 units AS (
-  SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
+  SELECT r, doc_id, unnest(list_concat(string_split(text, chr(10)),
     list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda u: contains(u, chr(10))),
     CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS unit
-  FROM documents WHERE text IS NOT NULL),
-fit AS (SELECT doc_id, unit FROM units WHERE len(regexp_extract_all(unit, '{WORDS}')) BETWEEN 2 AND 400),
-uw AS (SELECT doc_id, {_WORDS.format(text="unit")} AS words FROM fit),
+  FROM docs),
+dw AS (SELECT r, doc_id, {_WORDS.format(text="text")} AS ws, ' ' || {_NORMAL.format(text="text")} || ' ' AS padded FROM docs),
+shapes AS (SELECT DISTINCT len(words) AS n, words[1:2] AS a, words[len(words) - 1:] AS z FROM tw),
+windows AS (
+  SELECT r, doc_id, unnest(list_transform(list_filter(range(1, len(ws) - n + 2), lambda i: ws[i:i + 1] = a OR ws[i + n - 2:i + n - 1] = z),
+    lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS unit
+  FROM dw JOIN shapes ON len(ws) >= n AND (contains(padded, ' ' || a[1] || ' ' || a[2] || ' ') OR contains(padded, ' ' || z[1] || ' ' || z[2] || ' '))),
+fit AS (
+  SELECT DISTINCT r, doc_id, {_NORMAL.format(text="unit")} AS unit FROM units WHERE len(regexp_extract_all(unit, '{WORDS}')) BETWEEN 2 AND 400
+  UNION SELECT r, doc_id, unit FROM windows),
+uw AS (SELECT doc_id, string_split(unit, ' ') AS words FROM fit),
 up AS (SELECT doc_id, {_PAIRS} AS pairs FROM uw),
 ut AS (SELECT doc_id, {_TAGGED} AS held FROM up),
 hits AS (
