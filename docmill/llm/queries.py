@@ -21,4 +21,5 @@ ORACLES = {
     "op1_lm_scoring": lm_scoring.LM_SQL,
     "op4_mix_sources": mixing.MIX_SQL.format(rows="documents"),
     "op5_license_scan": licenses.LICENSE_SQL,
+    "op8_nearest": vector_search.NEAREST_SQL,
 }

@@ -7,8 +7,8 @@ the least and the largest distance of either child from its vantage point; by th
 lower bound is over the distance of the query's worst neighbour so far can't matter. ``factor`` relaxes that: children
 whose bound is over factor times that distance are passed over, so one is exact and less is faster.
 
-Defined cases: vectors that are null, zero, of another size than most or that hold null or non-finite components take
-no part, nor do rows without an id; of several rows with one id the smallest vector counts; equal scores go to the
+Defined cases: vectors that are null, zero or that hold null or non-finite components take no part, nor do rows without
+an id; vectors of different lengths have no inner product, so each length has shards of its own; of several rows with one id the smallest vector counts; equal scores go to the
 smaller id; fewer candidates than asked for give fewer rows; other columns of the input are not looked at.
 """
 
@@ -65,7 +65,7 @@ class Tree:
             if not len(a):
                 return
             q, r = qs[a], rows[b]
-            score = np.multiply(queries[q], self.points[r]).sum(axis=1)
+            score = np.multiply(queries[q].T, self.points[r].T, order="C").sum(axis=0)  # component by component, in order
             touched = np.zeros(len(queries), bool)
             touched[q] = True
             old = touched[best[0]]
@@ -104,8 +104,6 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("embedding"))
-    size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size("embedding") == (size["n"] if size else 0))
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
@@ -115,8 +113,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     n, most = rows.agg(F.count("*"), F.max(square)).first()
     shards, radius = max(1, math.ceil(n / shard_rows)), math.sqrt(most or 1.0)
-    base = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(False).alias("query"))
-    asked = rows.filter(is_query).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("query"))
+    shard = lambda i: F.size("embedding") * F.lit(shards).cast("long") + i  # noqa: E731 - of vectors of one length
+    base = rows.select("vec_id", "embedding", shard(F.pmod(F.xxhash64("vec_id"), F.lit(shards))).alias("shard"), F.lit(False).alias("query"))
+    asked = rows.filter(is_query).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("i"), F.lit(True).alias("query"))
+    asked = asked.select("vec_id", "embedding", shard(F.col("i")).alias("shard"), "query")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, shard, held = None, None, []
@@ -148,3 +148,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+NEAREST_SQL = """
+WITH fine AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
+  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""

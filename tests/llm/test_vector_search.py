@@ -10,7 +10,7 @@ def brute(ids, x, k):
     out = {}
     for i, q in zip(ids, x):
         if i % 5 == 0:
-            scored = sorted((-float(np.multiply(q, v).sum()), j) for j, v in zip(ids, x) if j != i)
+            scored = sorted((-float(np.cumsum(q * v)[-1]), j) for j, v in zip(ids, x) if j != i)
             out[i] = [j for _, j in scored[:k]]
     return out
 
@@ -29,6 +29,9 @@ def test_equals_brute_force_with_copies_and_odd_rows(spark):
         for r in sorted(vs.nearest(df, F.col("vec_id") % 5 == 0, 6, 1.0, shard_rows).collect(), key=lambda r: r["rank"]):
             got.setdefault(r["query_id"], []).append(r["vec_id"])
         assert got == want
+    mixed = df.union(spark.createDataFrame([(2000, [2.0], ""), (2005, [-1.0], "")], df.schema))  # meet 1020 and each other only
+    two = {(r["query_id"], r["vec_id"], r["score"]) for r in vs.nearest(mixed, F.col("vec_id") % 5 == 0, 6, 1.0, 60).collect() if r["query_id"] > 999}
+    assert two == {(1020, 2000, 2.0), (1020, 2005, -1.0), (2000, 1020, 2.0), (2000, 2005, -2.0), (2005, 1020, -1.0), (2005, 2000, -2.0)}
     few = vs.nearest(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, 20).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2]
     assert vs.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
