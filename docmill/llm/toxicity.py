@@ -156,32 +156,53 @@ class Kernel:
 class Pooler:
     """Sums of documents' kernels with the landmarks; keeps what it knows of strings while a task runs."""
 
-    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = 150_000):
+    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = 300_000):
         self.kernel, self.powers, self.keep = Kernel(landmarks), powers, keep
+        self.forget()
+
+    def forget(self) -> None:
         self.rows: dict[str, list[int]] = {}  # of a token, the rows of its strings
-        self.values = np.zeros((0, len(landmarks)), np.float32)
+        self.places: dict[str, int] = {}  # of a string, its row
+        self.values = np.zeros((0, len(self.powers) * len(self.kernel.landmarks)), np.float32)
+
+    def learn(self, new: list[str]) -> None:
+        """Similarities of the strings of new tokens, raised to each power once and not wherever a token occurs."""
+        strings = []
+        for t in new:
+            self.rows[t] = of = []
+            for s in pieces(t):
+                if s not in self.places:
+                    self.places[s] = len(self.places)
+                    strings.append(s)
+                of.append(self.places[s])
+        near = self.kernel.similarities(strings)
+        self.values = np.concatenate([self.values, np.hstack([near**power for power in self.powers])])
 
     def pool(self, texts: list[str]) -> np.ndarray:
         """A row for each text: for each power, a column for each landmark."""
         if len(self.rows) > self.keep:
-            self.rows, self.values = {}, self.values[:0]
+            self.forget()
         found = [tokens(x) for x in texts]
-        new = sorted(set().union(*found) - self.rows.keys())
-        read, at = [], len(self.values)
-        for t in new:
-            self.rows[t] = list(range(at + len(read), at + len(read) + len(of := pieces(t))))
-            read += of
-        self.values = np.concatenate([self.values, self.kernel.similarities(read)])
-        out = np.zeros((len(texts), len(self.powers), len(self.kernel.landmarks)))
-        rows = [np.array(sorted({r for t in f for r in self.rows[t]}), np.int64) for f in found]
-        full = np.flatnonzero([len(r) for r in rows])
-        for part in np.split(full, range(64, len(full), 64)):
-            if len(part):
-                starts = np.cumsum([0, *(len(rows[i]) for i in part)])[:-1]
-                values = self.values[np.concatenate([rows[i] for i in part])]
-                for k, power in enumerate(self.powers):
-                    out[part, k] = np.add.reduceat(values**power, starts, axis=0)
-        return out.reshape(len(texts), -1)
+        coded = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(sorted(t for t in names if t not in self.rows))
+        lists = [self.rows[t] for t in names]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        n = sizes[codes]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows = flat[np.repeat((np.cumsum(sizes) - sizes)[codes], n) + inner]
+        owner = np.repeat(np.repeat(np.arange(len(texts)), [len(f) for f in found]), n)
+        order = np.lexsort((rows, owner))  # sums don't depend on the order of a set
+        rows, owner = rows[order], owner[order]
+        out = np.zeros((len(texts), self.values.shape[1]))
+        held, starts = np.unique(owner, return_index=True)
+        ends = np.append(starts[1:], len(rows))
+        for at in range(0, len(held), 64):
+            part = slice(at, at + 64)
+            of = self.values[rows[starts[at] : ends[part][-1]]]
+            out[held[part]] = np.add.reduceat(of, starts[part] - starts[at], axis=0)
+        return out
 
 
 @dataclass(frozen=True)
