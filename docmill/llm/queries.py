@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import decontamination, language_id, licenses, lm_scoring, mixing, pii, pipeline, secret_scan, simhash, toxicity, vector_search
+from docmill.llm import decontamination, language_id, lexical_search, licenses, lm_scoring, mixing, pii, pipeline, secret_scan, simhash, toxicity, vector_search
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_nearest": vector_search.op8_nearest,
     "op9_simhash": simhash.op9_simhash,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_ranked_search": lexical_search.op11_ranked_search,
     "pipeline": pipeline.run,
 }
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_mix_sources": mixing.MIX_SQL.format(rows="documents"),
     "op5_license_scan": licenses.LICENSE_SQL,
     "op8_nearest": vector_search.NEAREST_SQL,
+    "op11_ranked_search": lexical_search.RANKED_SQL,
 }
