@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import decontamination, language_id, lexical_search, licenses, lm_scoring, mixing, pii, pipeline, secret_scan, simhash, spelling, toxicity, vector_search
+from docmill.llm import decontamination, language_id, lexical_search, licenses, lm_scoring, mixing, pii, pipeline, resharding, secret_scan, simhash, spelling, toxicity, vector_search
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_personal_data": pii.op10_personal_data,
     "op11_ranked_search": lexical_search.op11_ranked_search,
+    "op12_resharding": resharding.op12_resharding,
     "op13_spelling": spelling.op13_spelling,
     "pipeline": pipeline.run,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op5_license_scan": licenses.LICENSE_SQL,
     "op8_nearest": vector_search.NEAREST_SQL,
     "op11_ranked_search": lexical_search.RANKED_SQL,
+    "op12_resharding": resharding.op12_resharding,
     "op13_spelling": spelling.SPELLING_SQL,
 }
