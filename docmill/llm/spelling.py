@@ -172,16 +172,12 @@ def binned(words: DataFrame, total: int, size: int, shortest: int = SHORTEST, af
         F.struct(F.lit(True).alias("front"), F.substring("word", affix - shortest, shortest - affix).alias("key")),
     )
     rows = words.select("word", "n", F.explode(keys).alias("k")).select("word", "n", "k.*")
-    sizes = rows.groupBy("front", "key").agg(F.count("*").alias("size"))
-    shared = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // size))))
-    bins = sizes.select(
-        "front",
-        "key",
-        F.ceil(F.col("size") / size).cast("int").alias("parts"),
-        F.when(F.col("size") * 4 > size, F.col("key")).otherwise(shared.cast("string")).alias("name"),
-        (F.col("size") * 4 > size).alias("own"),
-    )
-    rows = rows.join(bins, ["front", "key"])
+    large = rows.groupBy("front", "key").agg(F.count("*").alias("size")).filter(F.col("size") * 4 > size)  # 8 * total / size at most
+    large = large.select("front", "key", F.ceil(F.col("size") / size).cast("int").alias("parts"), F.lit(True).alias("own"))
+    shared = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // size)))).cast("string")
+    rows = rows.join(F.broadcast(large), ["front", "key"], "left")
+    name = F.when(F.col("own"), F.col("key")).otherwise(shared).alias("name")
+    rows = rows.select("front", "word", "n", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("own", F.lit(False)).alias("own"), name)
     of = lambda i: F.concat_ws(":", "front", "own", "name", i)
     table = rows.select(of(F.pmod(F.xxhash64("word"), F.col("parts"))).alias("bin"), "front", F.lit(False).alias("asks"), "word", "n")
     asked = rows.select("front", "own", "name", "word", "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
