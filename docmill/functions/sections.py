@@ -56,6 +56,18 @@ def chunk_spans(docs: DataFrame, key: str, size: int = 500, overlap: int = 100)
     return docs.select(key, "text").mapInPandas(cut, f"{key} {docs.schema[key].dataType.simpleString()}, n long, start long, stop long")
 
 
+def plain_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
+    """As ``build_chunks``, but of whole texts: no sections, no names before them."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunks_of(t or "", size, overlap))
+
+    rows = docs.select("doc_id", "doc_name", F.posexplode(F.filter(cut("text"), lambda x: x != "")).alias("chunk_index", "text"))
+    name = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    return rows.select("doc_id", "doc_name", name.alias("chunk_id"), "chunk_index", F.lit("").alias("section"), "text")
+
+
 def sectioned(docs: DataFrame, key: str) -> DataFrame:
     """(key, n, section, body) for each section of ``docs``."""
 

@@ -98,12 +98,10 @@ def cosine(chunks: DataFrame, questions: DataFrame, rows_of_shard: int = 20_000)
     return dealt.join(asked, "shard").select("question_id", "chunk_id", score)
 
 
-def hashed_vectors(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
-    """(key, embedding): character n-grams of one to three, hashed by MD5 to dimensions, longer ones weighing more.
-
-    Each row makes its own vector, in Arrow batches, without a shuffle.
-    """
-    flat = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
+def hashed_vector(text: Column, dims: int = 64) -> Column:
+    """A text's vector: character n-grams of one to three, hashed by MD5 to dimensions, longer ones weighing more; in
+    Arrow batches, without a shuffle."""
+    flat = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""))
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def summed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,7 +111,12 @@ def hashed_vectors(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
             if len(buckets) > 1_000_000:
                 buckets.clear()
 
-    return rows.select(key, summed(flat).alias("embedding"))
+    return summed(flat)
+
+
+def hashed_vectors(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
+    """(key, embedding) of rows (key, text)."""
+    return rows.select(key, hashed_vector(F.col("text"), dims).alias("embedding"))
 
 
 def bucket_sums(text: str, dims: int, buckets: dict[str, int]) -> list[float]:

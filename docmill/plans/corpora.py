@@ -249,6 +249,22 @@ _LAST = ", ".join(f"CASE WHEN contains(sub, {b}) THEN 250 + length(sub) - strpos
 _HINT_WORDS = [w for hints in sections.HINTS.values() for w in hints]
 _SPACE = "regexp_replace(regexp_replace({x}, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 _NO_URLS = r"regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), 'https?://[^\s\x{00A0}]+', '', 'g')"
+
+
+def chunks_sql(rows: str) -> str:
+    """c (doc_id, text, len, n, start, stop): the windows of each of ``rows`` (doc_id, text)."""
+    return f"""c AS (
+  SELECT doc_id, text, length(text) AS len, 0::BIGINT AS n, 0::BIGINT AS start, CASE WHEN length(text) <= 500 THEN length(text)::BIGINT ELSE NULL END AS stop FROM {rows} WHERE text IS NOT NULL AND length(text) <= 500
+  UNION ALL SELECT * FROM (
+    WITH base AS (SELECT doc_id, text, length(text) AS len, 0::BIGINT AS n, 0::BIGINT AS start FROM {rows} WHERE length(text) > 500),
+    cut AS (SELECT *, text[251:500] AS sub FROM base)
+    SELECT doc_id, text, len, n, start, CASE WHEN greatest({_LAST}) > 0 THEN start + greatest({_LAST}) + 2 ELSE start + 500 END AS stop FROM cut)
+  UNION ALL SELECT * FROM (
+    WITH nxt AS (SELECT doc_id, text, len, n + 1 AS n, greatest(stop - 100, start + 1) AS start FROM c WHERE len > 500 AND stop < len),
+    cut AS (SELECT *, text[start + 251:start + 500] AS sub FROM nxt)
+    SELECT doc_id, text, len, n, start, CASE WHEN start + 500 >= len THEN len WHEN greatest({_LAST}) > 0 THEN start + greatest({_LAST}) + 2 ELSE start + 500 END AS stop FROM cut))"""
+
+
 ORACLES = {
     # no character comes 21 times in a row in the pages: SQL needs no back-reference
     "sanitize_pages": f"SELECT page_id, ({_SPACE.format(x=_NO_URLS)})[1:1000] AS question FROM pages",
@@ -259,17 +275,7 @@ SELECT doc_id, coalesce(n, 1)::INT AS n, coalesce(chars, 0)::INT AS chars FROM d
     "snippet_docs": f"""WITH f AS (SELECT doc_id, {_SPACE.format(x="replace(text, chr(10), ' ')")} AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE t[1:120] || '…' END AS snippet FROM f""",
     "title_from_name": "SELECT doc_id, CASE WHEN length('指南' || source) >= 4 THEN '指南' || source END AS title FROM documents",
-    "chunk_docs": f"""WITH RECURSIVE c AS (
-  SELECT doc_id, text, length(text) AS len, 0::BIGINT AS n, 0::BIGINT AS start, CASE WHEN length(text) <= 500 THEN length(text)::BIGINT ELSE NULL END AS stop FROM documents WHERE text IS NOT NULL AND length(text) <= 500
-  UNION ALL SELECT * FROM (
-    WITH base AS (SELECT doc_id, text, length(text) AS len, 0::BIGINT AS n, 0::BIGINT AS start FROM documents WHERE length(text) > 500),
-    cut AS (SELECT *, text[251:500] AS sub FROM base)
-    SELECT doc_id, text, len, n, start, CASE WHEN greatest({_LAST}) > 0 THEN start + greatest({_LAST}) + 2 ELSE start + 500 END AS stop FROM cut)
-  UNION ALL SELECT * FROM (
-    WITH nxt AS (SELECT doc_id, text, len, n + 1 AS n, greatest(stop - 100, start + 1) AS start FROM c WHERE len > 500 AND stop < len),
-    cut AS (SELECT *, text[start + 251:start + 500] AS sub FROM nxt)
-    SELECT doc_id, text, len, n, start, CASE WHEN start + 500 >= len THEN len WHEN greatest({_LAST}) > 0 THEN start + greatest({_LAST}) + 2 ELSE start + 500 END AS stop FROM cut))
-SELECT doc_id, n, start, stop FROM c""",
+    "chunk_docs": f"WITH RECURSIVE {chunks_sql('documents')} SELECT doc_id, n, start, stop FROM c",
     "noise_filter": f"""WITH {_LINES}, s AS (SELECT doc_id, n, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS x FROM full_lines)
 SELECT doc_id, n::INT AS n, x = '' OR length(x) > 60 OR regexp_matches(x, '[：:]') OR {sql_any('x', rules.NOISE_PARTS)} OR x IN ({', '.join(repr(w) for w in rules.NOISE_NAMES)})
   OR regexp_full_match(x, '[^\\p{{L}}\\p{{M}}]+') OR regexp_matches(x, '(?i)^[0-9a-f]{{8}}-?[0-9a-f]{{4}}-?') OR regexp_matches(x, '\\.(png|jpg|pdf|jpeg)$') AS noise FROM s""",

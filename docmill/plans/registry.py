@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.plans import corpora, retrieval
+from docmill.plans import corpora, retrieval, stored
 
-QUERIES = {**retrieval.QUERIES, **corpora.QUERIES}
-ORACLES = {**retrieval.ORACLES, **corpora.ORACLES}
+QUERIES = {**retrieval.QUERIES, **stored.QUERIES, **corpora.QUERIES}
+ORACLES = {**retrieval.ORACLES, **stored.ORACLES, **corpora.ORACLES}
