@@ -9,6 +9,7 @@ from docmill.functions.sections import plain_chunks
 from docmill.operators import lifecycle
 from docmill.operators.search import hashed_vector
 from docmill.sources.store import Layout, Refused, StaleWriter, Store
+from docmill.streaming import ingest
 
 
 def one_number(text):
@@ -163,3 +164,17 @@ def test_listing_finds_files_without_reading_them(spark, tmp_path):
         (2, "builtin", 0, False, True), (3, "missing", 0, False, False), (1, "uploaded", 2, True, False), (4, "missing", 0, False, False),
     ]
     assert {(r["total"], r["total_chunks"]) for r in got} == {(4, 3)}
+
+
+def test_stream_keeps_the_newest_version(spark, tmp_path):
+    folder, table, progress = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "progress")
+    folder.mkdir()
+
+    def arrive(n, *rows):
+        (folder / f"{n}.json").write_text("".join(f'{{"doc_id": "{i}", "doc_name": "n", "text": "{t}", "version": {v}}}\n' for i, t, v in rows))
+        ingest.start(spark, str(folder), table, progress).awaitTermination()
+        return {r["doc_id"]: r["text"] for r in ingest.current(spark, table).collect()}
+
+    assert arrive(0, ("a", "a much longer first text", 1), ("a", "short", 2), ("b", "bee", 1)) == {"a": "n\nshort", "b": "n\nbee"}
+    assert arrive(1, ("a", "late and old", 1), ("b", "", 2), ("c", "sea", 1)) == {"a": "n\nshort", "c": "n\nsea"}
+    assert arrive(2, ("b", "old bee", 1)) == {"a": "n\nshort", "c": "n\nsea"}
