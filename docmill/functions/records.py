@@ -30,6 +30,56 @@ def bullets(text: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+# The fields of a record by kind, as its schema has them.
+TEXTS, ITEMS, LISTS = ["title", "department", "legal_time", "fee", "channel"], ["required", "optional"], ["steps", "tips"]
+ITEM = "array<struct<name: string, desc: string, count: string>>"
+RECORD = ", ".join([*(f"{f}: string" for f in TEXTS), *(f"{f}: {ITEM}" for f in ITEMS), *(f"{f}: array<string>" for f in LISTS)])
+
+
+def _of(value: Column, field: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{field}", kind)
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).startswith(kind)
+
+
+def valid_record(value: Column, skipped: tuple[str, ...] = ()) -> Column:
+    """Whether a variant is a record: fields may lack, but those that are there have their kind (null is none)."""
+    lacks = lambda f: _of(value, f).isNull()
+    text = lambda x, f, needed: (F.lit(not needed) & _of(x, f).isNull()) | F.coalesce(_is(_of(x, f), "STRING"), F.lit(False))
+    item = lambda x: _is(x, "OBJECT") & text(x, "name", True) & text(x, "desc", False) & text(x, "count", False)
+    each = lambda f, fine: lacks(f) | (_is(_of(value, f), "ARRAY") & F.coalesce(F.forall(_of(value, f, "array<variant>"), fine), F.lit(False)))
+    fine = [text(value, f, False) for f in TEXTS] + [each(f, item) for f in ITEMS if f not in skipped] + [each(f, lambda x: _is(x, "STRING")) for f in LISTS]
+    out = F.coalesce(_is(value, "OBJECT"), F.lit(False))
+    for x in fine:
+        out = out & F.coalesce(x, F.lit(False))
+    return out
+
+
+def record_of(raw: Column, found: Column) -> Column:
+    """The record in a generated one (JSON text), completed by what was ``found`` (of the same fields; null without any).
+
+    Without a generated record, or with an empty one, it is what was found. If it requires nothing, required items are
+    the found ones, and optional ones too where it has none. Null if it isn't valid then.
+    """
+    value = F.try_parse_json(raw)
+    given = F.from_json(raw, f"struct<{RECORD}>")
+    some = F.coalesce(_is(value, "OBJECT") & (F.schema_of_variant(value) != "OBJECT<>"), F.lit(False))
+    empty = lambda f: _of(value, f).isNull() | F.is_variant_null(_of(value, f)) | F.coalesce(F.size(_of(value, f, "array<variant>")) == 0, F.lit(False))
+    filled = empty("required") & F.coalesce(F.size(found["required"]) > 0, F.lit(False))
+    also = filled & empty("optional") & F.coalesce(F.size(found["optional"]) > 0, F.lit(False))
+    fine = F.when(also, valid_record(value, ("required", "optional"))).when(filled, valid_record(value, ("required",))).otherwise(valid_record(value))
+    items = lambda c: F.transform(F.coalesce(c, F.array().cast(ITEM)), lambda x: F.struct(x["name"].alias("name"), *[F.coalesce(x[f], F.lit("")).alias(f) for f in ("desc", "count")]))
+    merged = F.struct(
+        *[F.coalesce(given[f], F.lit("")).alias(f) for f in TEXTS],
+        items(F.when(filled, found["required"]).otherwise(given["required"])).alias("required"),
+        items(F.when(also, found["optional"]).otherwise(given["optional"])).alias("optional"),
+        *[F.coalesce(given[f], F.array().cast("array<string>")).alias(f) for f in LISTS],
+    )
+    return F.when(~some, found).when(fine, merged)
+
+
 def _path(name: str) -> str:
     return f"$['{name}']"
 

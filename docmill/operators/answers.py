@@ -103,7 +103,7 @@ def answers(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generated:
     if generated is not None:
         rows = rows.join(generated.select("question_id", F.col("answer").alias("made")), "question_id", "left")
         rows = rows.withColumn("said", F.coalesce(F.when(F.col("made") != "", F.col("made")), F.col("said")))
-    answer = F.when(F.col("route") == "guide", F.col("guide")).when(F.col("route") == "answer", F.col("said")).otherwise(F.lit("知识库中未找到相关内容。"))
+    answer = F.when(F.col("route") == "guide", F.col("guide")).when(F.col("route") == "answer", F.col("said")).otherwise(F.lit(rules.NO_HIT))
     return rows.select("question_id", "route", answer.alias("answer"), F.col("route").isin("guide", "answer").alias("hit"))
 
 

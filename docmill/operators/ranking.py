@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docmill import rules
 from docmill.functions.text import any_in, snippet
-from docmill.operators.extraction import items_of
+from docmill.operators.extraction import body, items_of
 from docmill.rules import DEFAULTS, Params
 
 
@@ -115,13 +115,16 @@ def shown(hits: DataFrame) -> DataFrame:
 
 
 def sources(hits: DataFrame) -> DataFrame:
-    """(question_id, pos, doc_name, section, snippet, score) of hits, for showing."""
-    return shown(hits).select("question_id", "pos", "doc_name", "section", snippet(F.col("text")).alias("snippet"), F.round("score", 4).alias("score"))
+    """(question_id, pos, doc_name, section, snippet, score) of hits, for showing: the snippet is of what follows the
+    names of document and section."""
+    named = [F.coalesce(c, F.lit("")).alias(c) for c in ("doc_name", "section")]
+    told = snippet(body(F.col("text"), F.coalesce("doc_name", F.lit("")), F.coalesce("section", F.lit(""))))
+    return shown(hits).select("question_id", "pos", *named, told.alias("snippet"), F.round("score", 4).alias("score"))
 
 
 def contexts(hits: DataFrame) -> DataFrame:
     """(question_id, context): each question's hits in order as one text."""
-    line = F.format_string("[%d] %s / %s\n%s", F.col("pos"), F.col("doc_name"), F.col("section"), F.col("text"))
+    line = F.format_string("[%d] %s / %s\n%s", F.col("pos"), *[F.coalesce(c, F.lit("")) for c in ("doc_name", "section", "text")])
     listed = shown(hits).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))  # k hits
     return listed.select("question_id", F.array_join(F.transform("x", lambda h: h["line"]), "\n\n").alias("context"))
 

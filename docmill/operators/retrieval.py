@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill import rules
-from docmill.functions.text import any_in, expanded
-from docmill.operators import answers, ranking, search
+from docmill.functions import records
+from docmill.functions.text import any_in, expanded, json_answer, json_body, strip
+from docmill.operators import answers, extraction, ranking, search
 from docmill.rules import DEFAULTS, Params
 from docmill.session import checkpointed
 
@@ -34,13 +35,13 @@ def retrieve(
 
 def within_first(hits: DataFrame, chunks: DataFrame, pool: int, embed: Embed = search.hashed_vectors, p: Params = DEFAULTS) -> DataFrame:
     """For every question the best hits inside its first hit's document, searched for by the document's name and the names
-    of structured sections: an equi-join on the document, so that other chunks are not compared."""
+    of structured sections: joins on the document and on document and token, so that other chunks are not compared."""
     first = hits.groupBy("question_id").agg(F.min_by(F.struct("doc_id", "doc_name", "question"), "pos").alias("x")).select("question_id", "x.*")
     text = F.concat_ws(" ", "doc_name", *map(F.lit, rules.STRUCTURED_SECTIONS))
     asked = first.select("doc_id", text.alias("text")).distinct()  # one search for each document
     asked = asked.join(embed(asked, "doc_id").withColumnRenamed("embedding", "wanted"), "doc_id")
     rows = chunks.join(asked.select("doc_id", "wanted"), "doc_id")
-    keyword = search.bm25(chunks, asked.select(F.col("doc_id").alias("question_id"), "text"), p).select(F.col("question_id").alias("doc_id"), "chunk_id", F.col("score").alias("keyword_score"))
+    keyword = search.bm25(chunks, asked.select(F.col("doc_id").alias("question_id"), "doc_id", "text"), p, within="doc_id").select(F.col("question_id").alias("doc_id"), "chunk_id", F.col("score").alias("keyword_score"))
     scored = rows.join(keyword, ["doc_id", "chunk_id"], "left").fillna({"keyword_score": 0.0})
     scored = scored.withColumn("vector_score", F.round(search.dot(F.col("embedding"), F.col("wanted")), 6))
     strong = F.max("keyword_score").over(Window.partitionBy("doc_id")) >= p.keyword_min
@@ -57,3 +58,42 @@ def enriched(hits: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, embed:
     inside = checkpointed(within_first(some, chunks, max(8 * k, 48), embed, p).select(*hits.columns))
     more = checkpointed(ranking.enrich(some, inside, k, p))
     return answers.with_siblings(more, chunks).unionByName(hits.filter(~meant).withColumn("is_aux", F.lit(False)))
+
+
+def answered(
+    chunks: DataFrame, questions: DataFrame, generated: DataFrame | None = None, k: int = DEFAULTS.top_k, embed: Embed = search.hashed_vectors, degraded: bool = False, p: Params = DEFAULTS
+) -> DataFrame:
+    """(question_id, route, answer, record, sources, hit) for every question (question_id, text): the whole way.
+
+    Hits that pass the gate decide the route. A question that is too vague gets the documents it may mean (one of whose
+    hits no document has a name goes on to an answer). Else the hits are completed, and the answer is what was
+    ``generated`` (question_id, raw: a model's output for the question), or what the hits say. The record is the
+    generated one, completed and checked, or the one extracted. ``chunks`` also have chunk_index.
+    """
+    questions = questions.filter("question_id is not null")
+    hits = checkpointed(retrieve(chunks, questions, k, embed, p=p))  # k rows a question
+    good = hits.filter(ranking.is_relevant(p))
+    routed = ranking.routes(questions, hits, degraded, p)
+    vague = routed.filter("route = 'guide'").select("question_id")
+    guides = checkpointed(answers.guide_answers(good.join(vague, "question_id", "left_semi"), chunks))
+    full = checkpointed(enriched(good.join(guides, "question_id", "left_anti"), chunks, k, embed, p))
+    found = extraction.materials(full)
+    found = found.select("question_id", F.struct(*[F.col(f) for f in [*records.TEXTS, *records.ITEMS, *records.LISTS]]).alias("found"))
+    said = extraction.extractive_answers(ranking.shown(full)).withColumnRenamed("answer", "said")
+    told = ranking.sources(good.join(guides, "question_id", "left_semi").withColumn("is_aux", F.lit(False)).select(*full.columns).unionByName(full))
+    source = F.struct("pos", "doc_name", "section", "snippet", "score")
+    told = told.groupBy("question_id").agg(F.array_sort(F.collect_list(source)).alias("x"))  # some k rows
+    told = told.select("question_id", F.transform("x", lambda s: F.struct(*[s[c].alias(c) for c in ("doc_name", "section", "snippet", "score")])).alias("sources"))
+    rows = routed
+    for part in (guides.withColumnRenamed("answer", "guide"), said, found, told):
+        rows = rows.join(part, "question_id", "left")
+    raw = F.lit(None).cast("string")
+    if generated is not None:
+        rows, raw = rows.join(generated.select("question_id", F.col("raw").alias("_raw")), "question_id", "left"), F.col("_raw")
+    route = F.when((F.col("route") == "guide") & F.col("guide").isNull(), F.lit("answer")).otherwise(F.col("route"))
+    rows = rows.withColumns({"route": route, "_made": F.when(raw.isNotNull(), strip(json_answer(raw)))})
+    answer = F.when(F.col("route") == "guide", F.col("guide")).when(F.col("route") == "answer", F.coalesce(F.when(F.col("_made").isNull(), F.col("said")), F.when(F.col("_made") != "", F.col("_made")), F.lit(rules.NO_HIT)))
+    answer = answer.when(F.col("route") == "degraded", F.lit(rules.UNAVAILABLE)).otherwise(F.lit(rules.NO_HIT))
+    record = F.when(F.col("route") == "answer", records.record_of(F.get_json_object(json_body(raw), "$.material_list"), F.col("found")))
+    none = F.array().cast("array<struct<doc_name: string, section: string, snippet: string, score: double>>")
+    return rows.select("question_id", "route", answer.alias("answer"), record.alias("record"), F.coalesce("sources", none).alias("sources"), F.col("route").isin("guide", "answer").alias("hit"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from docmill.functions.text import let, tokens
+from docmill.functions.text import let, token_count, tokens
 from docmill.rules import DEFAULTS, Params
 
 
@@ -27,7 +27,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl): tokens of each chunk, chunks without any too."""
-    return chunks.select("chunk_id", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
+    return chunks.select("chunk_id", token_count(F.col("text")).alias("dl"))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
@@ -38,22 +38,25 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
 BROADCAST_TOKENS = 500_000
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, p: Params = DEFAULTS, within: str | None = None) -> DataFrame:
     """(question_id, chunk_id, score) of each pair that shares a token; a question's tokens count once.
 
     Texts are cut into tokens once; only the tokens that questions ask for go on, with their chunk's length beside them,
     and are counted before they move. The number of chunks and their mean length are two numbers. Postings meet the
     questions' tokens in a join on the token, which adaptive execution splits where a token is in very many chunks.
+    ``within`` names a column of both tables: questions then meet only the chunks that agree in it, by a join on both,
+    while the statistics stay those of all chunks.
     """
-    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("ts"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    on = [within] if within else []
+    asked = questions.select("question_id", *on, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     wanted = asked.select("token").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted
-    cut = rows.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
-    posted = cut.join(wanted, "token", "left_semi").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    whole = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean"))
+    rows = chunks.select("chunk_id", *on, token_count(F.col("text")).alias("dl"), tokens(F.col("text")).alias("ts"))  # lengths before rows are many
+    cut = rows.select("chunk_id", *on, "dl", F.explode("ts").alias("token"))
+    posted = cut.join(wanted, "token", "left_semi").groupBy("chunk_id", *on, "dl", "token").agg(F.count("*").alias("tf"))
+    whole = chunks.agg(F.count("*").alias("n"), F.avg(token_count(F.col("text"))).alias("mean"))
     df = document_frequencies(posted)
-    met = posted.join(asked.join(df, "token"), "token").join(F.broadcast(whole))  # one row
+    met = posted.join(asked.join(df, "token"), ["token", *on]).join(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.greatest(F.col("dl"), F.lit(1)) / F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0))
     part = idf * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * length))

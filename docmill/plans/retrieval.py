@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill import rules
 from docmill.functions.text import expanded, tokens
-from docmill.operators import answers, ranking, search
+from docmill.operators import answers, extraction, ranking, retrieval, search
 from docmill.session import checkpointed, table
 
 #: Fixed values of the queries: sections and questions that rows of ``embeddings`` stand for.
@@ -80,8 +80,7 @@ FACTOR_SQL = " * ".join(
     [f"(CASE WHEN {sql_any('question', w)} AND {sql_any('section', s)} THEN {b}::DOUBLE ELSE 1.0::DOUBLE END)" for w, s, b in rules.INTENTS]
     + [f"(CASE WHEN {sql_any('section', rules.BASIS_SECTIONS)} AND NOT {sql_any('question', rules.BASIS_QUESTION)} THEN 0.72::DOUBLE ELSE 1.0::DOUBLE END)"]
 )
-RERANK_SQL = f"""{HITS_SQL},
-f AS (SELECT * EXCLUDE (score), score AS raw, round(least(score * {FACTOR_SQL}, 0.9999::DOUBLE), 4) AS score FROM hits),
+RERANK_STEPS = f"""f AS (SELECT * EXCLUDE (score), score AS raw, round(least(score * {FACTOR_SQL}, 0.9999::DOUBLE), 4) AS score FROM hits),
 d AS (SELECT question_id, doc_id, greatest(max(raw), 0) AS best, min(pos) AS first, list_sum(list_reverse_sort(list(raw))[1:3]) AS support FROM f GROUP BY ALL),
 l AS (SELECT *, max(best) OVER (PARTITION BY question_id) AS top, (best > 0 AND max(best) OVER (PARTITION BY question_id) - best <= 0.01::DOUBLE) AS leads FROM d),
 r AS (SELECT *, count(*) FILTER (leads) OVER (PARTITION BY question_id) AS several, row_number() OVER (PARTITION BY question_id ORDER BY leads DESC, support DESC, first) - 1 AS rnk FROM l),
@@ -89,6 +88,7 @@ w AS (SELECT question_id, doc_id, support, CASE WHEN leads AND several > 1 THEN
 re AS (SELECT f.question_id, f.question, f.chunk_id, f.doc_id, f.section, f.score, f.raw, f.vector_score, f.keyword_score,
          row_number() OVER (PARTITION BY f.question_id ORDER BY w.best DESC, f.score DESC, f.pos) AS pos
        FROM f JOIN w USING (question_id, doc_id))"""
+RERANK_SQL = f"{HITS_SQL},\n{RERANK_STEPS}"
 RELEVANT_SQL = "(vector_score >= 0.45::DOUBLE OR (keyword_score >= 7 AND score >= 0.62::DOUBLE))"
 
 
@@ -224,6 +224,48 @@ def expand_query(spark, sf):
     return spark.range(1).select(F.explode(words).alias("question")).select("question", expanded(F.col("question")).alias("expanded"))
 
 
+def guide_chunks(spark, sf) -> DataFrame:
+    """Documents as chunks: eight make a guide, of a section each; with names before the texts and with vectors."""
+    number, place = F.expr("doc_id div 8"), (F.col("doc_id") % 8).cast("int")
+    name, section = F.concat(F.lit("指南"), number.cast("string")), F.element_at(literal(SECTIONS), place + 1)
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), number.alias("doc_id"), name.alias("doc_name"), section.alias("section"), place.alias("chunk_index"), F.concat_ws("\n", name, section, "text").alias("text")
+    )
+    return checkpointed(rows.withColumn("embedding", search.hashed_vector(F.col("text"), DIMS)))  # read many times
+
+
+def asked_for(spark, sf) -> DataFrame:
+    """Benchmark texts behind a question in the corpus's language; one in seven comes without."""
+    before = F.when(F.col("item_id") % 7 < 6, F.element_at(literal(QUESTIONS), (F.col("item_id") % 7 + 1).cast("int")))
+    more = F.when(F.col("item_id") % 5 == 0, F.lit("开店"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.concat_ws(" ", before, more, "text").alias("text"))
+
+
+def retrieve_hits(spark, sf):
+    found = retrieval.retrieve(guide_chunks(spark, sf), asked_for(spark, sf))
+    return found.select("question_id", "pos", "chunk_id", "doc_id", "section", *[F.round(c, 4).alias(c) for c in ("score", "vector_score", "keyword_score")])
+
+
+def enriched_hits(spark, sf):
+    chunks = guide_chunks(spark, sf)
+    found = retrieval.retrieve(chunks, asked_for(spark, sf)).filter(ranking.is_relevant())
+    return retrieval.enriched(found, chunks).select("question_id", "pos", "chunk_id", "section", F.round("score", 4).alias("score"), "is_aux")
+
+
+def questions_answered(spark, sf):
+    """The whole way; for every other question a model's output is given, one in three of them with a broken record."""
+    asked = asked_for(spark, sf)
+    title = F.when(F.col("question_id") % 3 == 0, F.lit("5")).otherwise(F.lit('"t"'))
+    listed = F.concat(F.lit('{"title": '), title, F.lit(', "required": [{"name": "证件", "count": "1份"}], "other": 1}'))
+    raw = F.concat(F.lit('```json\n{"answer": " made '), F.col("question_id").cast("string"), F.lit('", "material_list": '), listed, F.lit("}\n```"))
+    told = retrieval.answered(guide_chunks(spark, sf), asked, asked.filter("question_id % 2 = 0").select("question_id", raw.alias("raw")))
+    made, source = F.col("question_id") % 2 == 0, F.get("sources", F.lit(0))
+    return told.select(
+        "question_id", "route", "answer", "hit", F.when(made, F.col("record.title")).alias("title"), F.when(made, F.transform("record.required", lambda x: F.concat_ws("/", x["name"], x["desc"], x["count"]))[0]).alias("first_item"),
+        F.size("sources").alias("n_sources"), source["doc_name"].alias("doc_name"), source["snippet"].alias("snippet"),
+    )
+
+
 GRAMS_SQL = """flat{t} AS (SELECT {id} AS id, lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS t FROM {table}),
 gr{t} AS (SELECT id, unnest(list_concat(list_transform(range(1, length(t) + 1), lambda i: '#' || t[i]), list_transform(range(1, length(t)), lambda i: t[i:i+1]), list_transform(range(1, length(t) - 1), lambda i: t[i:i+2]))) AS g FROM flat{t}),
 gn{t} AS (SELECT id, g, count(*) AS n FROM gr{t} GROUP BY ALL),
@@ -245,9 +287,65 @@ QUERIES = {
     for f in (
         tokenize_docs, term_freq, doc_freq, doc_len_stats, bm25_topk, bm25_scores_strong, cosine_topk, cosine_topk_dedupe, cosine_doc_filter_post,
         cosine_doc_filter_pre, hash_embed_native, hybrid_exact, hybrid_candidates, rerank_boost, rerank_doc_order, relevance_gate, vague_route,
-        answer_route, merge_hits, second_best_doc, guide_docs, source_list, expand_query, probe_scores, guide_answers, answers_told, context_chars,
+        answer_route, merge_hits, second_best_doc, guide_docs, source_list, expand_query, probe_scores, guide_answers, answers_told, context_chars, retrieve_hits, enriched_hits, questions_answered,
     )
 }
+#: A text's tokens: words and numbers, then for each run of Han characters its characters and its pairs.
+HAN_TOKENS = """list_concat(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '[一-龥]+'),
+  lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: r[i]), list_transform(range(1, length(r)), lambda i: r[i:i + 1])))))"""
+#: ck: chunks, qs: questions, tf and df over chunks, vd: vectors of chunks by bucket.
+GUIDE_SQL = f"""ck AS (
+  SELECT doc_id AS chunk_id, doc_id // 8 AS doc_id, '指南' || doc_id // 8 AS doc_name, {sql_list(SECTIONS)}[doc_id % 8 + 1] AS section, (doc_id % 8)::INT AS chunk_index, text AS plain,
+         concat_ws(chr(10), '指南' || doc_id // 8, {sql_list(SECTIONS)}[doc_id % 8 + 1], text) AS text FROM documents),
+asked AS (SELECT item_id AS question_id, concat_ws(' ', CASE WHEN item_id % 7 < 6 THEN {sql_list(QUESTIONS)}[item_id % 7 + 1] END, CASE WHEN item_id % 5 = 0 THEN '开店' END, text) AS question FROM benchmark),
+qs AS (SELECT question_id, question, concat_ws(' ', question, {", ".join(f"CASE WHEN {sql_any('question', w)} THEN '{t}' END" for w, t in rules.SYNONYMS)}) AS text FROM asked),
+tok AS (SELECT chunk_id, unnest({HAN_TOKENS.format(x="text")}) AS token FROM ck),
+tf AS (SELECT chunk_id, token, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT chunk_id, len({HAN_TOKENS.format(x="text")})::BIGINT AS dl FROM ck),
+st AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+q AS (SELECT DISTINCT question_id, unnest({HAN_TOKENS.format(x="text")}) AS token FROM qs)"""
+_BM25 = "round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / mean))), 6)"
+RETRIEVE_SQL = f"""{GUIDE_SQL},
+kw AS (SELECT question_id, chunk_id, {_BM25} AS score FROM q JOIN df USING (token) JOIN tf USING (token) JOIN dl USING (chunk_id), st GROUP BY ALL),
+{GRAMS_SQL.format(t="d", id="chunk_id", table="ck")},
+{GRAMS_SQL.format(t="q", id="question_id", table="qs")},
+vs AS (
+  SELECT q.id AS question_id, d.id AS chunk_id, round(sum(q.w / nq.norm * d.w / nd.norm), 6) AS vector_score
+  FROM bkq q JOIN bkd d USING (bucket) JOIN nmq nq ON nq.id = q.id JOIN nmd nd ON nd.id = d.id GROUP BY ALL),
+a AS (SELECT question_id, chunk_id FROM vs QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id) <= 20),
+b AS (SELECT question_id, chunk_id, score FROM kw WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 20),
+un AS (SELECT question_id, chunk_id FROM a UNION SELECT question_id, chunk_id FROM b),
+al AS (SELECT un.*, vector_score, coalesce(b.score, 0) AS keyword_score, max(coalesce(b.score, 0)) OVER (PARTITION BY un.question_id) >= 7 AS strong FROM un JOIN vs USING (question_id, chunk_id) LEFT JOIN b USING (question_id, chunk_id)),
+pool AS (SELECT al.*, doc_id, section, {_FUSE} AS score FROM al JOIN ck USING (chunk_id)
+  QUALIFY row_number() OVER (PARTITION BY question_id, doc_id, section ORDER BY score DESC, chunk_id) = 1),
+hits AS (SELECT question_id, question, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS pos, chunk_id, doc_id, section, score, vector_score, keyword_score
+  FROM pool JOIN qs USING (question_id) QUALIFY pos <= 4),
+{RERANK_STEPS},
+good AS (SELECT * FROM re WHERE {RELEVANT_SQL})"""
+#: en (question_id, pos, chunk_id, doc_id, section, score): good hits, completed inside their first document.
+ENRICHED_SQL = f"""{RETRIEVE_SQL},
+meant AS (SELECT * FROM good WHERE {sql_any("question", rules.STRUCTURED_INTENT)}),
+one AS (SELECT question_id, arg_min(doc_id, pos) AS doc_id, max(score) AS top FROM meant GROUP BY question_id),
+fd AS (SELECT doc_id, concat_ws(' ', '指南' || doc_id, {", ".join("'" + x + "'" for x in rules.STRUCTURED_SECTIONS)}) AS text FROM (SELECT DISTINCT doc_id FROM one)),
+ft AS (SELECT DISTINCT doc_id, unnest({HAN_TOKENS.format(x="text")}) AS token FROM fd),
+kw2 AS (SELECT chunk_id, {_BM25} AS keyword_score FROM ft JOIN ck USING (doc_id) JOIN tf USING (token, chunk_id) JOIN df USING (token) JOIN dl USING (chunk_id), st GROUP BY chunk_id),
+{GRAMS_SQL.format(t="f", id="doc_id", table="fd")},
+vs2 AS (
+  SELECT ck.chunk_id, round(sum(f.w / nf.norm * d.w / nd.norm), 6) AS vector_score
+  FROM bkf f JOIN nmf nf ON nf.id = f.id JOIN ck ON ck.doc_id = f.id JOIN bkd d ON d.id = ck.chunk_id AND d.bucket = f.bucket JOIN nmd nd ON nd.id = d.id GROUP BY ck.chunk_id),
+al2 AS (SELECT ck.doc_id, chunk_id, section, vector_score, coalesce(keyword_score, 0) AS keyword_score, max(coalesce(keyword_score, 0)) OVER (PARTITION BY ck.doc_id) >= 7 AS strong FROM vs2 JOIN ck USING (chunk_id) LEFT JOIN kw2 USING (chunk_id)),
+sc2 AS (SELECT *, {_FUSE} AS score FROM al2),
+extra AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY sc2.score DESC, chunk_id) AS pos, chunk_id, doc_id, section, CASE WHEN top > 0 THEN least(sc2.score, round(top * 0.999::DOUBLE, 4)) ELSE sc2.score END AS score
+  FROM one JOIN sc2 USING (doc_id)),
+both_ AS (SELECT question_id, pos, chunk_id, doc_id, section, score, 0 AS src FROM meant UNION ALL SELECT question_id, pos, chunk_id, doc_id, section, score, 1 FROM extra WHERE section IN ({", ".join("'" + x + "'" for x in rules.STRUCTURED_SECTIONS)})),
+best_ AS (SELECT *, min(src * 1000 + pos) OVER (PARTITION BY question_id, doc_id, section) AS seen, count(*) FILTER (src = 1) OVER (PARTITION BY question_id) AS n_extra FROM both_
+  QUALIFY row_number() OVER (PARTITION BY question_id, doc_id, section ORDER BY score DESC, src, pos) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS place FROM best_),
+en AS (SELECT question_id, place AS pos, chunk_id, doc_id, section, score FROM placed WHERE place <= 4 + n_extra
+  UNION ALL SELECT question_id, pos, chunk_id, doc_id, section, score FROM good WHERE question_id NOT IN (SELECT question_id FROM meant))"""
+_PRIORITY = "CASE " + " ".join(f"WHEN contains(section, '{x}') THEN {i}" for i, x in enumerate(extraction.PRIORITY)) + f" ELSE {len(extraction.PRIORITY)} END"
+_FLAT = "regexp_replace(regexp_replace(replace({x}, chr(10), ' '), '[ \\t\\x{{00A0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 _TOP = "row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS pos"
 ORACLES = {
     "tokenize_docs": f"SELECT doc_id, len({TOKENS})::INT AS n, array_to_string({TOKENS}[1:8], ' ') AS head FROM documents",
@@ -290,6 +388,25 @@ FROM (SELECT DISTINCT question_id FROM re) q LEFT JOIN v USING (question_id)""",
     "guide_answers": f"""WITH {HITS_SQL}, d AS (SELECT question_id, doc_id, min(pos) AS first FROM hits GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first) AS n FROM d QUALIFY n <= 5)
 SELECT question_id, '请确认您要办理哪一项：' || chr(10) || string_agg(n || '. 《doc' || doc_id || '》' || CASE WHEN doc_id = 3 THEN ' —— 居住证办理 · 公安局…' ELSE '' END, chr(10) ORDER BY n) AS answer FROM n GROUP BY question_id""",
+    "retrieve_hits": f"WITH {RETRIEVE_SQL} SELECT question_id, pos, chunk_id, doc_id, section, round(score, 4) AS score, round(vector_score, 4) AS vector_score, round(keyword_score, 4) AS keyword_score FROM re",
+    "enriched_hits": f"WITH {ENRICHED_SQL} SELECT question_id, pos, chunk_id, section, round(score, 4) AS score, false AS is_aux FROM en",
+    "questions_answered": f"""WITH {ENRICHED_SQL},
+v AS (SELECT question_id, NOT {sql_any('question', rules.ENTITY_HINTS)} OR (vector_score < 0.6::DOUBLE AND keyword_score < 7) AS vague FROM good QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY pos) = 1),
+rt AS (SELECT question_id, CASE WHEN vague IS NULL THEN 'refuse' WHEN vague THEN 'guide' ELSE 'answer' END AS route FROM asked LEFT JOIN v USING (question_id)),
+gd AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY min(pos)) AS n FROM good GROUP BY question_id, doc_id),
+guide AS (SELECT question_id, '请确认您要办理哪一项：' || chr(10) || string_agg(n || '. 《指南' || doc_id || '》', chr(10) ORDER BY n) AS guide FROM gd WHERE n <= 5 GROUP BY question_id),
+shown AS (SELECT question_id, pos, chunk_id, doc_id, section FROM good JOIN rt USING (question_id) WHERE route = 'guide' UNION ALL SELECT question_id, pos, chunk_id, doc_id, section FROM en JOIN rt USING (question_id) WHERE route = 'answer'),
+tx AS (SELECT shown.*, doc_name, regexp_replace(coalesce(plain, ''), '^\\s+|\\s+$', '', 'g') AS body FROM shown JOIN ck USING (chunk_id)),
+src AS (SELECT question_id, count(*)::INT AS n_sources, arg_min(doc_name, pos) AS doc_name, arg_min({_FLAT.format(x="body")}, pos) AS flat FROM tx GROUP BY question_id),
+fst AS (SELECT *, arg_min(doc_id, pos) OVER (PARTITION BY question_id) AS first, min(pos) OVER (PARTITION BY question_id) AS start FROM tx JOIN rt USING (question_id) WHERE route = 'answer'),
+prt AS (SELECT question_id, pos, section, body, {_PRIORITY} AS rnk FROM fst WHERE doc_id = first AND body <> '' AND NOT {sql_any('section', rules.MATERIAL_SECTIONS)}
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rnk, pos) <= 4),
+sd AS (SELECT question_id, string_agg('【' || section || '】' || chr(10) || CASE WHEN length(body) <= 320 THEN body ELSE body[1:320] || '…' END, chr(10) || chr(10) ORDER BY rnk, pos) AS said FROM prt GROUP BY question_id),
+plain_ AS (SELECT question_id, body[1:400] AS said0 FROM fst WHERE pos = start)
+SELECT question_id, route, CASE route WHEN 'guide' THEN guide WHEN 'refuse' THEN '{rules.NO_HIT}' ELSE CASE WHEN question_id % 2 = 0 THEN 'made ' || question_id ELSE coalesce(said, said0) END END AS answer, route <> 'refuse' AS hit,
+  CASE WHEN route = 'answer' AND question_id % 2 = 0 AND question_id % 3 <> 0 THEN 't' END AS title, CASE WHEN route = 'answer' AND question_id % 2 = 0 AND question_id % 3 <> 0 THEN '证件//1份' END AS first_item,
+  coalesce(n_sources, 0)::INT AS n_sources, doc_name, CASE WHEN length(flat) <= 120 THEN flat ELSE flat[1:120] || '…' END AS snippet
+FROM rt LEFT JOIN guide USING (question_id) LEFT JOIN sd USING (question_id) LEFT JOIN plain_ USING (question_id) LEFT JOIN src USING (question_id)""",
     "answers_told": f"""WITH {RERANK_SQL}, g AS (SELECT * FROM re WHERE {RELEVANT_SQL} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY pos) = 1),
 v AS (SELECT question_id, NOT {sql_any('question', rules.ENTITY_HINTS)} OR (vector_score < 0.6::DOUBLE AND keyword_score < 7) AS vague FROM g)
 SELECT q.question_id, CASE WHEN vague IS NULL THEN 'refuse' WHEN vague THEN 'guide' ELSE 'answer' END AS route, vague IS NOT NULL AS hit

@@ -63,6 +63,7 @@ STRUCTURED_INTENT = [
     "部门", "哪里办", "在哪", "哪个部门", "地址", "窗口", "咨询", "依据", "法规", "条例", "文号",
     "办什么", "要办", "办理", "办哪些", "手续", "申请", "申领", "登记",
 ]
+# Words that name what a question is about.
 ENTITY_HINTS = [
     "居住证", "签注", "社保", "养老", "保险", "补贴", "资助", "创业", "就业", "失业", "退休", "工伤", "生育", "医疗", "医保", "公积金",
     "营业执照", "个体", "公司", "企业", "开店", "门市", "店铺", "店", "注销", "变更", "设立", "过户", "房屋", "房产", "不动产", "宅基地", "土地",
@@ -71,6 +72,7 @@ ENTITY_HINTS = [
     "社保卡", "社会保障卡", "一卡通", "制卡", "领卡", "驾驶证", "驾照", "换证", "机动车", "车牌", "上牌", "车辆",
     "异地就医", "就医", "备案", "转移接续", "入户", "落户", "户口", "人才引进",
 ]
+# What cleaning keeps as it is, where blocks of place names begin and end, and what page marks look like.
 KEPT_PUNCTUATION = "，。；：！？、（）《》【】“‘’”…—"
 SKIP_START = "跨域通办"
 SKIP_ENDS = ["基础信息", "审批信息", "受理范围", "受理条件", "材料清单", "网上办理流程", "线下办理流程", "办理流程", "收费标准", "收费信息", "实施依据", "设定依据", "咨询方式", "申请材料", "办理时限"]
@@ -91,3 +93,5 @@ TABLE_SIGNAL = "原件[：:]|复印件[：:]|纸质/电子化|已关联电子证
 MATERIAL_LEADS = ["应提交材料", "需提交材料", "提交材料", "申请材料", "所需材料", "提交以下材料"]
 MATERIAL_STOPS = ["应核验信息", "核验信息", "申请程序", "办理程序", "注意事项", "温馨提示", "补贴标准", "补贴对象", "补贴期限", "申领期限", "申领流程"]
 STEP_STOPS = ["服务对象", "事项主题分类", "面向自然人", "面向法人", "自然人", "法人", "其他主体", "社会组织", "受理范围", "办理地点", "审批信息", "基础信息", "实施依据", "其他信息", "日常用语", "事项类型"]
+# What is said where there is no answer.
+NO_HIT, UNAVAILABLE = "知识库中未找到相关内容。", "检索服务暂时不可用，请稍后重试。"
