@@ -117,6 +117,12 @@ def safe_file_name(name: pd.Series) -> pd.Series:
     return name.map(safe)
 
 
+def text_file_name(title: Column) -> Column:
+    """The name of the text file that a pasted text is kept as: its title's, whatever suffix that has."""
+    base = strip(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)\.(txt|md|markdown|pdf|docx)$", ""))
+    return F.concat(safe_file_name(F.when(base == "", F.lit("text")).otherwise(base)), F.lit(".txt"))
+
+
 def settings(files: DataFrame) -> DataFrame:
     """(file, key, value) of KEY=VALUE and KEY: ${KEY:-default} lines of files (file, text); comments don't count."""
     lines = files.select("file", F.explode(F.split("text", "\r?\n")).alias("l")).select("file", F.trim("l").alias("l"))

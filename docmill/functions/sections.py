@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,23 +88,73 @@ def corrected_section(section: Column, chunk: Column) -> Column:
     return F.when(~section.isin(rules.BASIS_SECTIONS) & (marks >= 2), F.lit(BASIS)).otherwise(section)
 
 
+def _laid_out(docs: DataFrame, pieces: Callable, section: Column) -> DataFrame:
+    """(doc_id, doc_name, chunk_id, chunk_index, section, text) of ``docs`` (doc_id, doc_name, text): what ``pieces`` makes of
+    each text, with its document's and section's name before it. A document is cut where it is, without a shuffle."""
+    none = lambda c: F.when(F.col(c) != "", F.col(c))
+    rows = docs.filter(strip(F.coalesce("text", F.lit(""))) != "").select("doc_id", "doc_name", F.posexplode(pieces("text")).alias("chunk_index", "x"))
+    rows = rows.select("doc_id", "doc_name", "chunk_index", "x.section", "x.chunk").withColumn("section", section)
+    name = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id")
+    return rows.select("doc_id", "doc_name", name, "chunk_index", "section", F.concat_ws("\n", none("doc_name"), none("section"), "chunk").alias("text"))
+
+
 def build_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """(doc_id, doc_name, chunk_id, chunk_index, section, text) of cleaned ``docs`` (doc_id, doc_name, text): sections,
-    their chunks, each with its document's and section's name before it."""
-
-    @F.pandas_udf("array<string>")
-    def cut(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: chunks_of(b, size, overlap))
-
-    parts = sectioned(docs.filter(strip(F.coalesce("text", F.lit(""))) != ""), "doc_id")
-    parts = parts.select("doc_id", "n", "section", F.posexplode(cut("body")).alias("m", "chunk"))
-    parts = parts.withColumn("section", corrected_section(F.col("section"), F.col("chunk")))
-    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "m", "section", "chunk"))).alias("x"))  # one document
-    rows = listed.select("doc_id", F.posexplode("x").alias("chunk_index", "x")).select("doc_id", "chunk_index", "x.section", "x.chunk")
-    named = rows.join(docs.select("doc_id", "doc_name"), "doc_id")
-    none = lambda c: F.when(F.col(c) != "", F.col(c))
-    text = F.concat_ws("\n", none("doc_name"), none("section"), F.col("chunk"))
-    return named.select("doc_id", "doc_name", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "section", text.alias("text"))
+    corrected by content, in overlapping chunks, each with its document's and section's name before it."""
+
+    @F.pandas_udf("array<struct<section: string, chunk: string>>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"section": s, "chunk": c} for s, b in sections_of(t) for c in chunks_of(b, size, overlap)])
+
+    return _laid_out(docs, pieces, corrected_section(F.col("section"), F.col("chunk")))
+
+
+#: Where a text is cut, the first separator that it has; the last cuts anywhere.
+SEPARATORS = ["\n\n", "\n", "。", "；", "！", "？", "，", " ", ""]
+
+
+def recursive_pieces(text: str, size: int = 500, overlap: int = 100, separators: list[str] = SEPARATORS) -> list[str]:
+    """Pieces of at most ``size`` characters where separators allow it, cut at the first separator that a text has, and
+    only what is still too long at the ones after it. Parts begin with their separator; neighbours are merged up to the
+    size, and a new piece begins with as many of the parts before as fit in ``overlap``."""
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    mark = separators[at]
+    first, *rest = re.split(f"({re.escape(mark)})", text) if mark else [""]
+    parts = [p for p in [first, *(a + b for a, b in zip(rest[::2], rest[1::2]))] if p] if mark else list(text)
+    out: list[str] = []
+    run: list[str] = []
+    for part in parts:
+        if len(part) < size:
+            run.append(part)
+            continue
+        out += merged(run, size, overlap)
+        run = []
+        out += recursive_pieces(part, size, overlap, separators[at + 1 :]) if at + 1 < len(separators) else [part]
+    return out + merged(run, size, overlap)
+
+
+def merged(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Neighbouring parts joined up to ``size`` characters, pieces sharing up to ``overlap`` at their edges."""
+    out, held, total = [], deque(), 0
+    for part in parts:
+        if held and total + len(part) > size:
+            out.append("".join(held).strip())
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.popleft())
+        held.append(part)
+        total += len(part)
+    out.append("".join(held).strip())
+    return [p for p in out if p]
+
+
+def recursive_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
+    """Chunks by ``recursive_pieces``; sections stay as their headings say."""
+
+    @F.pandas_udf("array<struct<section: string, chunk: string>>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"section": s, "chunk": c} for s, b in sections_of(t) for c in recursive_pieces(b, size, overlap)])
+
+    return _laid_out(docs, pieces, F.col("section"))
 
 
 # Words that tell a section by its content, with their weights.

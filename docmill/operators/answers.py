@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from docmill import rules
-from docmill.functions.text import any_in
+from docmill.functions.text import any_in, strip
 from docmill.operators import extraction, ranking
 from docmill.rules import DEFAULTS, Params
 
@@ -113,12 +113,56 @@ def probe(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("question_id").join(best, "question_id", "left").fillna(0.0)
 
 
+def probe_report(questions: DataFrame, hits: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(question_id, vec, second, gap, kw, score, passed, doc_name, second_name) of each question: its first hit beside its
+    first hit of another document, and whether the gate lets it pass; nulls without hits, 0 and "-" without a second."""
+    of = Window.partitionBy("question_id").orderBy("pos")
+    first = hits.withColumn("_n", F.row_number().over(of)).filter("_n = 1")
+    first = first.select("question_id", F.col("vector_score").alias("vec"), F.col("keyword_score").alias("kw"), "score", ranking.is_relevant(p).alias("passed"), "doc_name", F.col("doc_id").alias("_doc"))
+    others = hits.join(first.select("question_id", "_doc"), "question_id").filter(~F.col("doc_id").eqNullSafe(F.col("_doc")))
+    second = others.withColumn("_n", F.row_number().over(of)).filter("_n = 1").select("question_id", F.col("vector_score").alias("_second"), F.col("doc_name").alias("_name"))
+    rows = questions.select("question_id").join(first, "question_id", "left").join(second, "question_id", "left")
+    there = F.col("vec").isNotNull()
+    rows = rows.withColumns({"second": F.when(there, F.coalesce("_second", F.lit(0.0))), "second_name": F.when(there, F.coalesce("_name", F.lit("-")))})
+    return rows.select("question_id", "vec", "second", F.round(F.col("vec") - F.col("second"), 6).alias("gap"), "kw", "score", "passed", "doc_name", "second_name")
+
+
+# What a refusal and a guide say.
+REFUSALS, GUIDE = ["知识库中未找到", "知识库暂无该业务相关政策"], "请确认您要办理哪一项"
+
+
+def checked(cases: DataFrame, told: DataFrame) -> DataFrame:
+    """(question_id, grp, ok) of cases (question_id, grp, expect, min_required) on what ``retrieval.answered`` told.
+
+    in: hit, not refused, the expected name in a source's document or in the record's title, and enough required items.
+    first: hit, not refused, the expected name in the first source's document or the title. number: hit, and the number
+    in the answer or a snippet. out: no hit, or a refusal or a guide. An answer is refused if it begins with a refusal;
+    one that only ends with "not covered" isn't.
+    """
+    rows = cases.join(told, "question_id", "left")
+    answer, hit = strip(F.coalesce("answer", F.lit(""))), F.coalesce("hit", F.lit(False))
+    refused = F.exists(F.array(*map(F.lit, REFUSALS)), lambda x: F.startswith(answer, x))
+    none = F.array().cast("array<string>")
+    names, snippets = (F.coalesce(F.transform("sources", lambda s: F.coalesce(s[c], F.lit(""))), none) for c in ("doc_name", "snippet"))
+    title = F.coalesce("record.title", F.lit(""))
+    has = lambda texts: F.exists(texts, lambda x: F.contains(x, F.col("expect")))
+    enough = F.coalesce(F.size("record.required"), F.lit(0)) >= F.coalesce("min_required", F.lit(0))
+    ok = (
+        F.when(F.col("grp") == "out", ~hit | any_in(answer, [*REFUSALS, GUIDE]))
+        .when(F.col("grp") == "first", hit & ~refused & has(F.array(F.coalesce(F.get(names, F.lit(0)), F.lit("")), title)))
+        .when(F.col("grp") == "number", hit & has(F.concat(F.array(answer), snippets)))
+        .otherwise(hit & ~refused & has(F.array(F.array_join(names, " "), title)) & enough)
+    )
+    return rows.select("question_id", "grp", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
 def evaluated(cases: DataFrame, told: DataFrame, records: DataFrame) -> DataFrame:
     """(question_id, grp, ok) of cases (question_id, grp, expect, min_required): an answer from within the domain must
     name what is expected and require as many materials; from without it must be refused or asked back."""
     required = records.select("question_id", F.size("required").alias("n"))
     rows = cases.join(told, "question_id", "left").join(required, "question_id", "left")
     named = F.contains(F.coalesce("answer", F.lit("")), F.col("expect"))
-    inside = F.coalesce("hit", F.lit(False)) & named & (F.coalesce("n", F.lit(0)) >= F.coalesce("min_required", F.lit(0)))
+    refused = F.exists(F.array(*map(F.lit, REFUSALS)), lambda x: F.startswith(strip(F.coalesce("answer", F.lit(""))), x))
+    inside = F.coalesce("hit", F.lit(False)) & ~refused & named & (F.coalesce("n", F.lit(0)) >= F.coalesce("min_required", F.lit(0)))
     outside = ~F.coalesce("hit", F.lit(False)) | (F.col("route") == "guide")
     return rows.select("question_id", "grp", F.when(F.col("grp") == "out", outside).otherwise(inside).alias("ok"))

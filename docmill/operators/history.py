@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions.text import short_title
+
 from docmill.rules import DEFAULTS
 
 
@@ -34,3 +36,18 @@ def messages(history: DataFrame) -> DataFrame:
 def listed(history: DataFrame, session_id, limit: int = 200) -> DataFrame:
     """A session's turns in order, from one to a thousand."""
     return history.filter(F.col("session_id") == session_id).orderBy("id").limit(max(1, min(limit, 1000)))
+
+
+def session_list(sessions: DataFrame, limit: int = 100) -> DataFrame:
+    """The sessions (session_id, create_time, ...) begun last, a hundred at most."""
+    return sessions.orderBy(F.desc("create_time"), "session_id").limit(max(1, min(limit, 100)))
+
+
+def touched(sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """Sessions (session_id, title, updated) after turns (session_id, at, question): those spoken in come first, new ones
+    among them; a first turn gives its session a title."""
+    last = turns.filter("session_id is not null").groupBy("session_id").agg(F.max("at").alias("_at"), F.min_by("question", "at").alias("_first"))
+    rows = sessions.join(last, "session_id", "full")
+    title = F.coalesce("title", short_title(F.col("_first")))
+    rows = rows.select("session_id", title.alias("title"), F.greatest("updated", "_at").alias("updated"))
+    return rows.orderBy(F.desc("updated"), "session_id")

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.records import safe_file_name
-from docmill.functions.sections import build_chunks
+from docmill.functions.sections import build_chunks, hinted_section, inherited_sections, last_heading
 from docmill.functions.text import document_id, strip
 from docmill.operators.search import hashed_vector
 from docmill.session import checkpointed
-from docmill.sources.files import SUFFIXES, resolved_title
+from docmill.sources.files import SUFFIXES, document_of_id, documents, resolved_title, scan
 from docmill.sources.store import Change, Layout, Store
 
 #: Cuts documents (doc_id, doc_name, text) into chunks (doc_id, doc_name, chunk_id, chunk_index, section, text).
@@ -110,14 +110,14 @@ def uploads(files: DataFrame, builtin: DataFrame, megabytes: int = 20) -> DataFr
 
 
 def ingest(
-    store: Store, docs: DataFrame, origin: str = "uploaded", chunker: Chunker = build_chunks, embed: Callable[[Column], Column] = hashed_vector, now: Column | None = None, expected: int | None = None
+    store: Store, docs: DataFrame, origin: str = "uploaded", chunker: Chunker = build_chunks, embed: Callable[[Column], Column] = hashed_vector, now: Column | None = None, expected: int | None = None, clear: bool = False
 ) -> DataFrame:
     """Adds documents (doc_id, doc_name, source, text), or puts them in place of those of their ids, and tells (doc_id,
     chunks, status) of each.
 
     Chunks and metadata are published in one version; if anything fails, the documents of before are all there. One
     without any text leaves its document of before as it is (status "no text"); so does one without an id ("no id"). Of
-    several with one id the first by name and text counts.
+    several with one id the first by name and text counts. ``clear``: nothing else stays.
     """
     one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("doc_name", "source", "text")).alias("x")).select("doc_id", "x.*")
     good = one.filter(strip(F.coalesce("text", F.lit(""))) != "")
@@ -126,6 +126,8 @@ def ingest(
     keys = checkpointed(good.select("doc_id"))
 
     def work(change: Change) -> None:
+        for t in ("chunks", "documents") if clear else ():
+            change.truncate(t)
         change.replace("chunks", chunks, keys)
         change.replace("documents", meta, keys)
 
@@ -136,6 +138,54 @@ def ingest(
     return told.select("doc_id", F.coalesce("n", F.lit(0)).alias("chunks"), status.alias("status"))
 
 
+def ingest_folder(store: Store, folder: str, **how) -> tuple[DataFrame, DataFrame]:
+    """Ingests all files under a folder. (path, name, suffix, chunks, status) of each, by path; and a summary (status,
+    suffix, files, chunks) with its totals, in which what went wrong is "failed". A file is read once; one that can't be
+    read doesn't stop the rest. Of files of one name the first by title, path and text counts, the rest are "same name"."""
+    files = checkpointed(scan(store.spark, folder))
+    read = documents(files)
+    told = ingest(store, read, **how).select("doc_id", F.col("chunks").alias("_chunks"))
+    kept = read.groupBy("doc_id").agg(F.min(F.struct("doc_name", "source", "text")).alias("x")).select("doc_id", F.col("x.source").alias("_path"))
+    rows = files.withColumn("doc_id", document_id(F.col("name"))).join(told, "doc_id", "left").join(kept, "doc_id", "left")
+    mine = F.coalesce(F.col("path") == F.col("_path"), F.lit(False))
+    status = F.when(F.col("status") != "ok", F.col("status")).when(mine, F.lit("ok")).when(strip(F.coalesce("text", F.lit(""))) == "", F.lit("no text")).when(F.col("_path").isNull(), F.lit("no text")).otherwise(F.lit("same name"))
+    details = rows.select("path", "name", "suffix", F.when(mine, F.coalesce("_chunks", F.lit(0))).otherwise(F.lit(0)).alias("chunks"), status.alias("status"))
+    details = checkpointed(details).orderBy("path")
+    kind = F.when(F.col("status").isin("ok", "no text", "same name"), F.col("status")).otherwise(F.lit("failed")).alias("status")
+    return details, details.select(kind, "suffix", "chunks").rollup("status", "suffix").agg(F.count("*").alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+
+
+def sectioned_import(rows: DataFrame, excluded: tuple[str, ...] = ("GD00",)) -> DataFrame:
+    """Chunks of an export (id, text, embedding, doc_id, chunk_index) as the store takes them, but those of documents whose
+    id begins as in ``excluded``: named by their ids, in the section that their content or else their last heading tells,
+    or else in that of the chunk before; names before the texts, vectors as they came."""
+    for prefix in excluded:
+        rows = rows.filter(~F.coalesce(F.col("doc_id").startswith(prefix), F.lit(False)))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumns({"text": text, "section": F.coalesce(hinted_section(text), last_heading(text)), "doc_name": document_of_id(F.col("doc_id"))})
+    rows = inherited_sections(rows)
+    whole = F.concat_ws("\n", "doc_name", "section", "text")
+    return rows.select("doc_id", "doc_name", F.substring(F.col("id").cast("string"), 1, 120).alias("chunk_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "section", whole.alias("text"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def import_vectors(store: Store, rows: DataFrame, source: str, reset: bool = False, excluded: tuple[str, ...] = ("GD00",), now: Column | None = None) -> int:
+    """Adds an export's chunks and, new or anew, its documents' metadata, in one version, and gives the number of chunks.
+    A vector of another size: Refused."""
+    chunks = prepared(sectioned_import(rows, excluded))
+    at = F.current_timestamp() if now is None else now
+    meta = chunks.select("doc_id", "doc_name").filter("doc_id is not null").distinct().select("doc_id", "doc_name", F.lit(source).alias("source"), F.lit("builtin").alias("origin"), at.alias("upload_time"))
+    added: list[int] = []
+
+    def work(change: Change) -> None:
+        for t in ("chunks", "documents") if reset else ():
+            change.truncate(t)
+        added.append(change.append("chunks", chunks))
+        change.replace("documents", meta, meta.select("doc_id"))
+
+    store.change(work)
+    return added[0]
+
+
 def reingest(store: Store, wanted: DataFrame, sources: DataFrame, **how) -> DataFrame:
     """Ingests built-in documents (``wanted``: doc_id) anew from ``sources`` (doc_id, doc_name, source, text), which also
     brings back what was removed. (doc_id, chunks, status): "unknown" has no metadata, "no source" no source left."""

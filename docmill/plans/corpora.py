@@ -251,6 +251,12 @@ _SPACE = "regexp_replace(regexp_replace({x}, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '^
 _NO_URLS = r"regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), 'https?://[^\s\x{00A0}]+', '', 'g')"
 
 
+def hint_sql(body: str) -> str:
+    """{s, i, name} of the section whose words weigh most in ``body``, the first of equals."""
+    scored = ["{'s': " + " + ".join(f"(CASE WHEN contains({body}, '{w}') THEN {x} ELSE 0 END)" for w, x in hints.items()) + ", 'i': " + str(-i) + ", 'name': '" + name + "'}" for i, (name, hints) in enumerate(sections.HINTS.items())]
+    return f"list_max([{', '.join(scored)}])"
+
+
 def chunks_sql(rows: str) -> str:
     """c (doc_id, text, len, n, start, stop): the windows of each of ``rows`` (doc_id, text)."""
     return f"""c AS (
@@ -281,8 +287,7 @@ SELECT doc_id, n::INT AS n, x = '' OR length(x) > 60 OR regexp_matches(x, '[：:
   OR regexp_full_match(x, '[^\\p{{L}}\\p{{M}}]+') OR regexp_matches(x, '(?i)^[0-9a-f]{{8}}-?[0-9a-f]{{4}}-?') OR regexp_matches(x, '\\.(png|jpg|pdf|jpeg)$') AS noise FROM s""",
     "table_signal": f"""SELECT doc_id, len(regexp_extract_all(concat_ws(chr(10), CASE WHEN doc_id % 2 = 0 THEN '原件：1' END, CASE WHEN doc_id % 3 = 0 THEN '复印件:2' END, text), '{rules.TABLE_SIGNAL}')) >= 2 AS is_table FROM documents""",
     "section_hint": f"""WITH {_LINES}, b AS (SELECT doc_id, n, concat_ws(' ', {', '.join(f"{sql_list(_HINT_WORDS)}[(doc_id * {k} + n * 7) % {len(_HINT_WORDS)} + 1]" for k in (1, 2, 3, 5))}) AS body FROM full_lines),
-sc AS (SELECT doc_id, n, [{', '.join("{'s': " + ' + '.join(f"(CASE WHEN contains(body, '{w}') THEN {x} ELSE 0 END)" for w, x in hints.items()) + ", 'i': " + str(-i) + ", 'name': '" + name + "'}" for i, (name, hints) in enumerate(sections.HINTS.items()))}] AS all_scores FROM b),
-m AS (SELECT doc_id, n, list_max(all_scores) AS best FROM sc)
+m AS (SELECT doc_id, n, {hint_sql('body')} AS best FROM b)
 SELECT doc_id, n::INT AS n, CASE WHEN best.s >= 6 THEN best.name END AS section FROM m""",
     "section_inherit": f"""WITH {_LINES}, f AS (SELECT doc_id, n, CASE WHEN n % 4 = 1 THEN {sql_list(rules.SECTION_NAMES)}[(doc_id + n) % {len(rules.SECTION_NAMES)} + 1] END AS found FROM full_lines)
 SELECT doc_id, n::INT AS chunk_index, coalesce(last_value(found IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '正文') AS section FROM f""",
