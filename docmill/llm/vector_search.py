@@ -1,15 +1,16 @@
 """Approximate nearest neighbours (operator 8): a vantage-point tree for each shard, searched by blocks of queries.
 
-Vectors go to shards by a hash of their id, so that a shard is bounded whatever the input looks like, and every query
-goes to every shard. A task builds a shard's tree, then streams the queries through it. The largest inner product is
+Vectors go to shards by a hash of their row's number, so that a shard is bounded whatever the input looks like, and
+every query goes to every shard. A task builds a shard's tree, then streams the queries through it. The largest inner product is
 the smallest distance once each vector has one more component that brings it to the largest norm of all. A node keeps
 the least and the largest distance of either child from its vantage point; by the triangle inequality a child whose
 lower bound is over the distance of the query's worst neighbour so far can't matter. ``factor`` relaxes that: children
 whose bound is over factor times that distance are passed over, so one is exact and less is faster.
 
 Defined cases: vectors that are null, zero or that hold null or non-finite components take no part, nor do rows without
-an id; vectors of different lengths have no inner product, so each length has shards of its own; of several rows with one id the smallest vector counts; equal scores go to the
-smaller id; fewer candidates than asked for give fewer rows; other columns of the input are not looked at.
+an id; vectors of different lengths have no inner product, so each length has shards of its own; rows with one id, and
+repeated rows, are candidates and queries of their own, only a query's own row is none of its candidates; equal scores
+go to the smaller id; fewer candidates than asked for give fewer rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ FACTOR = 1.0
 class Tree:
     """A vantage-point tree over the rows of ``points``, which are of one length each once ``extra`` is added."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, extra: np.ndarray, radius: float, leaf: int = LEAF):
-        self.ids, self.points, self.radius = ids, points, radius
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, points: np.ndarray, extra: np.ndarray, radius: float, leaf: int = LEAF):
+        self.ids, self.rows, self.points, self.radius = ids, rows, points, radius
         self.whole = np.column_stack([points, extra])
         self.rng = np.random.default_rng(0)
         self.root = self.build(np.arange(len(ids)), leaf)
@@ -50,8 +51,8 @@ class Tree:
             return rows
         return vantage, [(self.build(rows[m], leaf), away[m].min(), away[m].max()) for m in (inner, ~inner)]
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, row of the tree, score) of the ``k`` best for each query, but rows of its own id."""
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, row of the tree, score) of the ``k`` best for each query, but its ``own`` row."""
         lengths = np.linalg.norm(queries, axis=1)
         scaled = queries * (self.radius / lengths)[:, None]
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -60,7 +61,7 @@ class Tree:
         def meet(rows: np.ndarray, qs: np.ndarray) -> None:
             nonlocal best
             near = queries[qs] @ self.points[rows].T >= (worst[qs] - 1e-9 * self.radius * lengths[qs])[:, None]
-            near &= ids[qs][:, None] != self.ids[rows][None, :]
+            near &= own[qs][:, None] != self.rows[rows][None, :]
             a, b = np.nonzero(near)
             if not len(a):
                 return
@@ -100,11 +101,11 @@ class Tree:
 
 
 def clean_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles): the vectors that take part, one for each id."""
+    """(row, vec_id, embedding as doubles): the vectors that take part, each with a number of its row."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("embedding"))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", v.alias("embedding"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = FACTOR, shard_rows: int = SHARD) -> DataFrame:
@@ -114,9 +115,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     n, most = rows.agg(F.count("*"), F.max(square)).first()
     shards, radius = max(1, math.ceil(n / shard_rows)), math.sqrt(most or 1.0)
     shard = lambda i: F.size("embedding") * F.lit(shards).cast("long") + i  # noqa: E731 - of vectors of one length
-    base = rows.select("vec_id", "embedding", shard(F.pmod(F.xxhash64("vec_id"), F.lit(shards))).alias("shard"), F.lit(False).alias("query"))
-    asked = rows.filter(is_query).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("i"), F.lit(True).alias("query"))
-    asked = asked.select("vec_id", "embedding", shard(F.col("i")).alias("shard"), "query")
+    role = lambda i, asks: F.struct(shard(i).alias("shard"), F.lit(asks).alias("query"))
+    own = F.array(role(F.pmod(F.xxhash64("row"), F.lit(shards)), False))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda i: role(i, True))
+    roles = F.when(F.coalesce(is_query, F.lit(False)), F.concat(own, every)).otherwise(own)
+    dealt = rows.select("row", "vec_id", "embedding", F.explode(roles).alias("role"))  # a row's number is made once for all its roles
+    dealt = dealt.select("role.shard", "role.query", "row", "vec_id", "embedding").repartition("shard").sortWithinPartitions("shard", "query", "vec_id")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, shard, held = None, None, []
@@ -133,16 +137,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
                 if tree is None:  # a shard's candidates all come before its queries
                     points = np.stack([*pd.concat(held)["embedding"]]).astype(float)
                     extra = np.sqrt(np.maximum(radius**2 - (points**2).sum(axis=1), 0))
-                    tree, held = Tree(pd.concat(held)["vec_id"].to_numpy(), points, extra, radius), []
+                    found = pd.concat(held)
+                    tree, held = Tree(found["vec_id"].to_numpy(), found["row"].to_numpy(), points, extra, radius), []
                 for at in range(0, len(asks), BLOCK):
                     block = asks.iloc[at : at + BLOCK]
-                    ids = block["vec_id"].to_numpy()
-                    q, r, score = tree.search(ids, np.stack([*block["embedding"]]).astype(float), k, factor)
-                    yield pd.DataFrame({"query_id": ids[q], "vec_id": tree.ids[r], "score": score})
+                    ids, own = block["vec_id"].to_numpy(), block["row"].to_numpy()
+                    q, r, score = tree.search(own, np.stack([*block["embedding"]]).astype(float), k, factor)
+                    yield pd.DataFrame({"row": own[q], "query_id": ids[q], "vec_id": tree.ids[r], "score": score})
 
-    dealt = base.union(asked).repartition("shard").sortWithinPartitions("shard", "query", "vec_id")
-    found = dealt.select("shard", "query", "vec_id", "embedding").mapInPandas(search, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.mapInPandas(search, "row long, query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -152,12 +156,11 @@ def op8_nearest(spark, sf_dir: str) -> DataFrame:
 
 NEAREST_SQL = """
 WITH fine AS (
-  SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
-  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
+  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.row <> q.row AND len(c.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM scored QUALIFY rank <= 20
 """

@@ -7,12 +7,13 @@ from docmill.llm import vector_search as vs
 
 
 def brute(ids, x, k):
+    """For each query's id the results of all its rows, by rank."""
     out = {}
-    for i, q in zip(ids, x):
+    for n, (i, q) in enumerate(zip(ids, x)):
         if i % 5 == 0:
-            scored = sorted((-float(np.cumsum(q * v)[-1]), j) for j, v in zip(ids, x) if j != i)
-            out[i] = [j for _, j in scored[:k]]
-    return out
+            scored = sorted((-float(np.cumsum(q * v)[-1]), j) for m, (j, v) in enumerate(zip(ids, x)) if m != n)
+            out.setdefault(i, []).extend((r, j) for r, (_, j) in enumerate(scored[:k], 1))
+    return {i: sorted(rows) for i, rows in out.items()}
 
 
 def test_equals_brute_force_with_copies_and_odd_rows(spark):
@@ -21,14 +22,14 @@ def test_equals_brute_force_with_copies_and_odd_rows(spark):
     x[100:400] = x[7]  # a very common vector
     x[np.abs(x).sum(axis=1) == 0] = 1.0
     rows = [(i, v.tolist(), "s") for i, v in enumerate(x)]
-    odd = [(1000, None, ""), (1005, [0.0] * 8, ""), (1010, [float("nan")] * 8, ""), (1015, [None] * 8, ""), (1020, [1.0], ""), (None, [1.0] * 8, ""), rows[5], rows[5]]
+    odd = [(1000, None, ""), (1005, [0.0] * 8, ""), (1010, [float("nan")] * 8, ""), (1015, [None] * 8, ""), (1020, [1.0], ""), (None, [1.0] * 8, ""), rows[5], rows[5], (6, [9.0] * 8, "")]
     df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, score string")
-    want = brute(range(700), x, 6)
+    want = brute([*range(700), 5, 5, 6], np.vstack([x, x[5], x[5], np.full(8, 9.0)]), 6)
     for shard_rows in (60, 10_000):
         got = {}
         for r in sorted(vs.nearest(df, F.col("vec_id") % 5 == 0, 6, 1.0, shard_rows).collect(), key=lambda r: r["rank"]):
-            got.setdefault(r["query_id"], []).append(r["vec_id"])
-        assert got == want
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert {i: sorted(rows) for i, rows in got.items()} == want
     mixed = df.union(spark.createDataFrame([(2000, [2.0], ""), (2005, [-1.0], "")], df.schema))  # meet 1020 and each other only
     two = {(r["query_id"], r["vec_id"], r["score"]) for r in vs.nearest(mixed, F.col("vec_id") % 5 == 0, 6, 1.0, 60).collect() if r["query_id"] > 999}
     assert two == {(1020, 2000, 2.0), (1020, 2005, -1.0), (2000, 1020, 2.0), (2000, 2005, -2.0), (2005, 1020, -1.0), (2005, 2000, -2.0)}
@@ -42,7 +43,7 @@ def test_tree_prunes_exactly_and_relaxed():
     x = rng.normal(size=(4000, 4)) * rng.uniform(0.5, 2, size=(4000, 1))
     radius = float(np.sqrt((x**2).sum(axis=1).max()))
     extra = np.sqrt(np.maximum(radius**2 - (x**2).sum(axis=1), 0))
-    tree, ids = vs.Tree(np.arange(4000), x, extra, radius, leaf=32), np.arange(100)
+    tree, ids = vs.Tree(np.arange(4000), np.arange(4000), x, extra, radius, leaf=32), np.arange(100)
     scores = x[:100] @ x.T
     scores[ids, ids] = -np.inf
     want = [set(r) for r in np.argsort(-scores, axis=1)[:, :10].tolist()]
@@ -64,3 +65,10 @@ def test_query_recall_on_whole_table(spark):
     scores[np.arange(len(rows)), rows] = -np.inf
     want = np.argsort(-scores, axis=1)[:, :20]
     assert np.mean([len(got[ids[q]] & set(ids[w].tolist())) for q, w in zip(rows, want)]) / 20 >= 0.99
+
+
+def test_rows_of_one_id_are_all_candidates(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (40, [0.0, 1.0]), (40, [0.0, 2.0])]
+    got = {tuple(r) for r in vs.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).collect()}
+    assert {r for r in got if r[0] == 20} == {(20, 1, 1, 5.0), (20, 2, 2, 2.0), (20, 3, 1, 1.0)}
+    assert {r for r in got if r[0] == 40 and r[1] == 1} == {(40, 1, 40, 2.0)}
