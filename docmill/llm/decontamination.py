@@ -11,8 +11,8 @@ Benchmarks are small beside the corpus. Their size is checked: items go to autom
 an ordinary benchmark. The driver holds one list of items at a time: where there are more, each is a pass of its own
 over the documents, whose result is written before the next list is read.
 
-Defined cases: null is the empty text; items that are null or shorter than ``SHORTEST``
-characters (they come up by chance), or have no id, are not looked for; every row of
+Defined cases: null is the empty text; items that are null or blank, or have no id, are not looked for; those of fewer
+than ``SHORT`` characters count where they are unchanged and whole words, the text's own; every row of
 the documents is searched, repeated rows too, as a whole; of several places of an item in a text the one with the
 fewest edits counts, then the first; ids of any type pass
 as they are; other columns of the inputs are not looked at.
@@ -34,8 +34,8 @@ from docmill.llm.common import kept_rows, text_slices, written
 RATE = 0.1
 #: Characters of the items in one automaton.
 AUTOMATON = 4_000_000
-#: Of an item, in normal form.
-SHORTEST = 16
+#: Items of fewer characters, in normal form, have to occur as they are and between word edges, as they come up by chance.
+SHORT = 16
 
 
 def lowered(text: str) -> str:
@@ -86,8 +86,8 @@ class Finder:
     """Looks for test items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(i, n) for i, t in items if len(n := normal(t)) >= SHORTEST]
-        self.budgets = [math.floor(len(n) * rate) for _, n in self.items]
+        self.items = [(i, n) for i, t in items if (n := normal(t))]
+        self.budgets = [math.floor(len(n) * rate) if len(n) >= SHORT else 0 for _, n in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, ((_, text), budget) in enumerate(zip(self.items, self.budgets)):
             cuts = [round(p * len(text) / (budget + 1)) for p in range(budget + 2)]
@@ -103,8 +103,12 @@ class Finder:
     def at(self, k: int, text: str, start: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of item ``k`` around ``start`` in a normal text."""
         item, budget = self.items[k][1], self.budgets[k]
+        end = start + len(item)
+        if len(item) < SHORT:
+            inside = (start and text[start - 1 : start + 1].isalnum()) or text[end - 1 : end + 1].isalnum() and end < len(text)
+            return None if inside else (0, start, end)
         if text.startswith(item, max(start, 0)) and start >= 0:
-            return 0, start, start + len(item)
+            return 0, start, end
         low, high = max(0, start - budget), start + len(item) + budget
         window = text[low:high]
         missed = 0

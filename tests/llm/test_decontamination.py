@@ -68,3 +68,12 @@ def test_operators_on_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     assert dec.contamination(docs.limit(0), items).count() == dec.contamination(docs, items.limit(0)).count() == 0
     assert dec.without_items(docs, items.limit(0)).count() == 7
+
+
+def test_short_items_count_as_whole_words_unchanged():
+    finder = dec.Finder([(1, "what is 17 x 3?"), (2, "cat"), (3, "(a)")])
+    assert [r[0] for r in finder.find("He asked: What  is 17 x 3? Then left.")] == [1]
+    assert finder.find("what is 17 x 4? concatenate cats") == []
+    text = "A Cat, concat (A)b"
+    assert [(k, text[a:b], e) for k, a, b, e in finder.find(text)] == [(2, "Cat", 0), (3, "(A)", 0)]
+    assert [r[0] for r in finder.find("cats cat")] == [2]
