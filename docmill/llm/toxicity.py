@@ -315,7 +315,7 @@ def pooled(rows: DataFrame, landmarks: list[str]) -> DataFrame:
     """(toxic, trial, x) for the rows (text, toxic, trial) and for each of them with insertions: sums for all powers."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = Pooler(landmarks, POWERS)
+        pooler = Pooler(landmarks, POWERS, 300_000 // len(POWERS))  # as many numbers as a scorer keeps
         for batch, texts in text_slices(batches):
             for read in (texts, [*map(with_insertions, texts)]):
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pooler.pool(read).tolist(), pa.list_(pa.float64()))], ["toxic", "trial", "x"])
