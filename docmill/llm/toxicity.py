@@ -50,6 +50,7 @@ WEIGHTS = (0.0, 0.5)  # powers of how rare a class is, to choose from
 LONGEST = 24  # of a token read at once
 GRAMS = (4, 5, 6, 7, 8, 9)  # lengths of strings that can be landmarks
 SAMPLE = 12_000
+KEEP = 200_000  # tokens that a task remembers; then it begins anew, at the price of time
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 STRIP = string.punctuation
 
@@ -154,45 +155,47 @@ class Kernel:
 
 
 class Pooler:
-    """Sums of documents' kernels with the landmarks; keeps what it knows of strings while a task runs."""
+    """Sums of documents' kernels with the landmarks; keeps what it knows of tokens while a task runs."""
 
-    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = 300_000):
+    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = KEEP):
         self.kernel, self.powers, self.keep = Kernel(landmarks), powers, keep
         self.forget()
 
     def forget(self) -> None:
-        self.rows: dict[str, list[int]] = {}  # of a token, the rows of its strings
-        self.places: dict[str, int] = {}  # of a string, its row
+        self.rows: dict[str, int] = {}  # of a token without marks around it, its row
         self.values = np.zeros((0, len(self.powers) * len(self.kernel.landmarks)), np.float32)
 
     def learn(self, new: list[str]) -> None:
-        """Similarities of the strings of new tokens, raised to each power once and not wherever a token occurs."""
-        strings = []
-        for t in new:
-            self.rows[t] = of = []
-            for s in pieces(t):
-                if s not in self.places:
-                    self.places[s] = len(self.places)
-                    strings.append(s)
-                of.append(self.places[s])
-        near = self.kernel.similarities(strings)
-        self.values = np.concatenate([self.values, np.hstack([near**power for power in self.powers])])
+        """The sum of the similarities of each new token's strings, raised to each power once and not wherever it occurs."""
+        lists = [pieces(t) for t in new]
+        places: dict[str, int] = {}
+        flat = np.array([places.setdefault(s, len(places)) for of in lists for s in of], np.int64)
+        near = self.kernel.similarities([*places])
+        near = np.hstack([near**power for power in self.powers])
+        sizes = np.array([len(of) for of in lists], np.int64)
+        start = len(self.rows)
+        self.rows.update(zip(new, range(start, start + len(new))))
+        if len(self.rows) > len(self.values):  # room for twice as many; what isn't used yet takes no memory
+            grown = np.empty((2 * len(self.rows), self.values.shape[1]), np.float32)
+            grown[:start] = self.values[:start]
+            self.values = grown
+        told = self.values[start : start + len(new)]
+        told[:] = 0
+        held = np.flatnonzero(sizes)
+        if len(held):
+            told[held] = np.add.reduceat(near[flat], (np.cumsum(sizes) - sizes)[held], axis=0)
 
     def pool(self, texts: list[str]) -> np.ndarray:
         """A row for each text: for each power, a column for each landmark."""
         if len(self.rows) > self.keep:
             self.forget()
         found = [tokens(x) for x in texts]
-        coded = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
+        read = (t.strip(STRIP) for of in found for t in of)  # tokens that differ in marks around them count each
+        coded = pa.array(read, pa.string()).dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         self.learn(sorted(t for t in names if t not in self.rows))
-        lists = [self.rows[t] for t in names]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
-        n = sizes[codes]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rows = flat[np.repeat((np.cumsum(sizes) - sizes)[codes], n) + inner]
-        owner = np.repeat(np.repeat(np.arange(len(texts)), [len(f) for f in found]), n)
+        rows = np.fromiter((self.rows[t] for t in names), np.int64, len(names))[codes]
+        owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         order = np.lexsort((rows, owner))  # sums don't depend on the order of a set
         rows, owner = rows[order], owner[order]
         out = np.zeros((len(texts), self.values.shape[1]))
@@ -315,7 +318,7 @@ def pooled(rows: DataFrame, landmarks: list[str]) -> DataFrame:
     """(toxic, trial, x) for the rows (text, toxic, trial) and for each of them with insertions: sums for all powers."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = Pooler(landmarks, POWERS, 300_000 // len(POWERS))  # as many numbers as a scorer keeps
+        pooler = Pooler(landmarks, POWERS, KEEP // len(POWERS))  # as many numbers as a scorer keeps
         for batch, texts in text_slices(batches):
             for read in (texts, [*map(with_insertions, texts)]):
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pooler.pool(read).tolist(), pa.list_(pa.float64()))], ["toxic", "trial", "x"])
