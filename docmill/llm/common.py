@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -82,12 +82,28 @@ def kept_rows(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bo
     return reworked(rows, work)
 
 
+class Tables:
+    """Parquet tables in the shared folder that the cluster names in ``spark.checkpoint.dir``, and their removal once no
+    plan reads them. What a job that broke off leaves is the folder's owner's to clear, as with checkpoints."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table, read back."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.parquet(path)
+
+    def removed(self, *names: str) -> None:
+        """Removes the tables of these names, or all."""
+        for name in names or [*self.paths]:
+            for path in self.paths.pop(name, []):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder that the cluster names in ``spark.checkpoint.dir``, read back.
-
-    The session's last use of the table is not known here, so the table stays: the folder's owner clears it, as with
-    checkpoints of jobs that broke off.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` as one of ``Tables`` that stays, as the session's last use of it is not known here."""
+    return Tables(df.sparkSession).written(df, name)
