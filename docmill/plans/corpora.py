@@ -56,6 +56,24 @@ def split_sections_docs(spark, sf):
     return sections.sectioned(table(spark, sf, "documents"), "doc_id").select("doc_id", "n", "section", F.length("body").alias("chars"))
 
 
+def headed_docs(spark, sf) -> DataFrame:
+    """Documents laid out as guides: some lines as headings, or sections' names in their place, some with words of laws."""
+    name = lambda i: F.element_at(F.array(*map(F.lit, rules.SECTION_NAMES)), ((F.col("doc_id") + i) % len(rules.SECTION_NAMES) + 1).cast("int"))
+    laws = lambda x, i: F.when((F.col("doc_id") % 4 == 0) & (i % 5 == 0), F.concat(x, F.lit(" 依据文号 条款号"))).otherwise(x)
+    head = lambda x, i: F.when(i % 7 != 3, laws(x, i)).when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), name(i))).otherwise(F.concat(F.lit("## "), x))
+    return named_docs(spark, sf).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), head), "\n"))
+
+
+def sections_headed(spark, sf):
+    """Sections of documents with headings or bare names."""
+    return sections.sectioned(headed_docs(spark, sf), "doc_id").select("doc_id", "n", "section", F.md5("body").alias("digest"))
+
+
+def chunks_headed(spark, sf):
+    """Chunks of such documents: sections cut, corrected by what is in them, with names before them."""
+    return sections.build_chunks(headed_docs(spark, sf)).select("doc_id", "chunk_id", "chunk_index", "section", F.md5("text").alias("digest"))
+
+
 def lines(spark, sf) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return rows.filter("line <> ''")
@@ -224,14 +242,14 @@ def extract_material(spark, sf):
 
 
 def extractive_answer(spark, sf):
-    h = table(spark, sf, "documents").select(F.col("source").alias("question_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("pos"), F.col("lang").alias("doc_name"), F.concat(F.lit("受理条件"), (F.col("doc_id") % 6).cast("string")).alias("section"), "text")
+    h = table(spark, sf, "documents").select(F.col("source").alias("question_id"), F.col("doc_id").alias("pos"), F.col("lang").alias("doc_name"), F.concat(F.lit("受理条件"), (F.col("doc_id") % 6).cast("string")).alias("section"), "text")
     return extraction.extractive_answers(h)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        sanitize_pages, snippet_docs, title_from_name, document_ids, clean_docs, clean_lines, chunk_docs, build_chunks, split_sections_docs, noise_filter,
+        sanitize_pages, snippet_docs, title_from_name, document_ids, clean_docs, clean_lines, chunk_docs, build_chunks, split_sections_docs, sections_headed, chunks_headed, noise_filter,
         table_signal, section_hint, section_inherit, parse_json_answer, corpus_list, corpus_preview, corpus_delete, corpus_delete_keeps, corpus_upsert,
         session_insert, cascade_delete, checklist_progress, name_filter, qa_pairs, history_asc, recent_history_budget, session_list, message_unpivot, calibrate_1d, calibrate_pair, score_summary,
         eval_report, outcome_mix, health_counts, extract_rows, extract_material, extractive_answer,
@@ -250,6 +268,34 @@ _HINT_WORDS = [w for hints in sections.HINTS.values() for w in hints]
 _SPACE = "regexp_replace(regexp_replace({x}, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 _NO_URLS = r"regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), 'https?://[^\s\x{00A0}]+', '', 'g')"
 
+#: Lines as cleaning leaves them, in ``lines`` (doc_id, n, line): no page marks or place names are among the tables' lines.
+_KEPT = f"""t AS (SELECT doc_id, n, {_SPACE.format(x="line")} AS line FROM lines), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM t WHERE line <> ''),
+kept AS (SELECT * FROM k WHERE before IS NULL OR before <> line OR length(line) >= 60)"""
+_EDGES = "regexp_replace({x}, '^[\\s\\x0B\\x{{A0}}]+|[\\s\\x0B\\x{{A0}}]+$', '', 'g')"
+
+
+def sections_sql(rows: str) -> str:
+    """sections (doc_id, n, section, body) of ``rows`` (doc_id, text): headings become marks, texts are cut at them, and
+    parts without a body go."""
+    return f"""marked AS (SELECT doc_id, coalesce(text, '') AS text, regexp_matches(coalesce(text, ''), '(?m)^#{{1,4}}\\s*.+?\\s*$') AS headed FROM {rows}),
+cut AS (SELECT doc_id, text, string_split(regexp_replace(text, CASE WHEN headed THEN '(?m)^#{{1,4}}\\s*(.+?)\\s*$' ELSE '(?m)^\\s*({'|'.join(sorted(rules.SECTION_NAMES, key=len, reverse=True))})\\s*$' END, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM marked),
+part AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut WHERE len(parts) > 1),
+told AS (SELECT doc_id, i, CASE WHEN i = 1 THEN '' ELSE {_EDGES.format(x="split_part(part, chr(2), 1)")} END AS section, {_EDGES.format(x="CASE WHEN i = 1 THEN part ELSE split_part(part, chr(2), 2) END")} AS body FROM part),
+bodies AS (SELECT * FROM told WHERE body <> ''),
+sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, section, body FROM bodies
+  UNION ALL SELECT doc_id, 0, '', text FROM marked ANTI JOIN bodies USING (doc_id))"""
+
+
+_HEADED = f"""laid AS (SELECT doc_id, n, CASE WHEN n % 7 = 3 AND doc_id % 3 = 0 THEN ' ' || {sql_list(rules.SECTION_NAMES)}[(doc_id + n) % {len(rules.SECTION_NAMES)} + 1]
+  WHEN n % 7 = 3 THEN '## ' || line WHEN doc_id % 4 = 0 AND n % 5 = 0 THEN line || ' 依据文号 条款号' ELSE line END AS line FROM lines), headed AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM laid GROUP BY doc_id)"""
+_BASIS = " + ".join(f"(CASE WHEN contains(chunk, '{m}') THEN 1 ELSE 0 END)" for m in sections.BASIS_MARKS)
+#: rows_found (doc_id, n, name, count): a material for each word of a text that can be one's name.
+_NAMED = f"""words AS (SELECT doc_id, regexp_split_to_array(text, '[\\s\\x0B]+') AS ws FROM documents),
+named AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, '材料' || unnest(ws) AS line FROM words), clean_names AS (SELECT doc_id, i, {_EDGES.format(x="line")} AS name FROM named),
+rows_found AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, name, i || '份' AS count FROM clean_names
+  WHERE length(name) BETWEEN 3 AND 40 AND NOT regexp_matches(name, '[：:]|\\.(png|jpg|pdf|jpeg)$') AND NOT {sql_any('name', rules.NOISE_PARTS)} AND name NOT IN ({', '.join(repr(w) for w in rules.NOISE_NAMES)})
+  AND rtrim(name, '：:；;，,。') NOT IN ({', '.join(repr(w) for w in rules.NOISE_ROWS)}) AND NOT regexp_matches(name, '^({'|'.join(rules.ROW_MARKS)})'))"""
+
 
 def hint_sql(body: str) -> str:
     """{s, i, name} of the section whose words weigh most in ``body``, the first of equals."""
@@ -278,6 +324,31 @@ ORACLES = {
     "clean_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, n, {_SPACE.format(x="line")} AS line FROM lines), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM t WHERE line <> ''),
 c AS (SELECT doc_id, count(*) AS n, (sum(length(line)) + count(*) - 1) AS chars FROM k WHERE before IS NULL OR before <> line OR length(line) >= 60 GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 1)::INT AS n, coalesce(chars, 0)::INT AS chars FROM documents LEFT JOIN c USING (doc_id)""",
+    # no character of the tables has a compatibility form
+    "clean_docs": f"""WITH {_LINES}, {_KEPT}, c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM kept GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(c.text, '') AS text FROM documents LEFT JOIN c USING (doc_id)""",
+    "split_sections_docs": f"WITH {sections_sql('documents')} SELECT doc_id, n::INT AS n, section, length(body)::INT AS chars FROM sections",
+    # texts of the tables have no sections: the windows of whole texts
+    "build_chunks": f"""WITH RECURSIVE src AS (SELECT doc_id, text FROM documents WHERE {_EDGES.format(x="coalesce(text, '')")} <> ''), {chunks_sql('src')},
+p AS (SELECT doc_id, n, CASE WHEN len <= 500 THEN text ELSE {_EDGES.format(x="text[start + 1:stop]")} END AS chunk FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, CASE WHEN {_BASIS} >= 2 THEN '{sections.BASIS}' ELSE '' END AS section,
+  length(concat_ws(chr(10), 'doc' || doc_id, CASE WHEN {_BASIS} >= 2 THEN '{sections.BASIS}' END, chunk))::INT AS chars FROM p WHERE chunk <> ''""",
+    "sections_headed": f"WITH {_LINES}, {_HEADED}, {sections_sql('headed')} SELECT doc_id, n::INT AS n, section, md5(body) AS digest FROM sections",
+    "chunks_headed": f"""WITH RECURSIVE {_LINES}, {_HEADED}, {sections_sql('headed')}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS id FROM sections WHERE doc_id IN (SELECT doc_id FROM headed WHERE {_EDGES.format(x="text")} <> '')),
+src AS (SELECT id AS doc_id, body AS text FROM numbered), {chunks_sql('src')},
+p AS (SELECT doc_id AS id, n AS piece, CASE WHEN len <= 500 THEN text ELSE {_EDGES.format(x="text[start + 1:stop]")} END AS chunk FROM c),
+q AS (SELECT numbered.doc_id, id, piece, chunk, CASE WHEN section NOT IN ({', '.join(repr(x) for x in rules.BASIS_SECTIONS)}) AND {_BASIS} >= 2 THEN '{sections.BASIS}' ELSE section END AS section FROM p JOIN numbered USING (id) WHERE chunk <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id, piece) - 1 AS i FROM q)
+SELECT doc_id, doc_id || '_' || i AS chunk_id, i::INT AS chunk_index, section, md5(concat_ws(chr(10), 'doc' || doc_id, nullif(section, ''), chunk)) AS digest FROM r""",
+    "extract_rows": f"WITH {_NAMED} SELECT doc_id, n::INT AS n, name, count FROM rows_found",
+    "extract_material": f"WITH {_NAMED} SELECT doc_id AS question_id, 'd' AS title, count(DISTINCT name)::INT AS n_required, 0::INT AS n_steps FROM rows_found GROUP BY doc_id",
+    "extractive_answer": f"""WITH h AS (SELECT coalesce(source, chr(0)) AS q, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, lang, '受理条件' || (doc_id % 6) AS section, coalesce(text, '') AS text FROM documents),
+f AS (SELECT q, lang AS first_lang FROM h WHERE pos = 1), s AS (SELECT h.* FROM h JOIN f USING (q) WHERE lang IS NOT DISTINCT FROM first_lang QUALIFY row_number() OVER (PARTITION BY q, section ORDER BY pos) = 1),
+u AS (SELECT *, CASE WHEN lang <> '' AND {_EDGES.format(x="split_part(text, chr(10), 1)")} = lang THEN substr(text, length(split_part(text, chr(10), 1)) + 2) ELSE text END AS t FROM s),
+b AS (SELECT *, {_EDGES.format(x=f"CASE WHEN {_EDGES.format(x='split_part(t, chr(10), 1)')} = section THEN substr(t, length(split_part(t, chr(10), 1)) + 2) ELSE t END")} AS body FROM u),
+g AS (SELECT * FROM b WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY q ORDER BY pos) <= 4),
+a AS (SELECT q, string_agg('【' || section || '】' || chr(10) || CASE WHEN length(body) <= 320 THEN body ELSE body[1:320] || '…' END, chr(10) || chr(10) ORDER BY pos) AS answer FROM g GROUP BY q)
+SELECT nullif(b.q, chr(0)) AS question_id, coalesce(a.answer, b.body[1:400]) AS answer FROM b LEFT JOIN a USING (q) WHERE b.pos = 1""",
     "snippet_docs": f"""WITH f AS (SELECT doc_id, {_SPACE.format(x="replace(text, chr(10), ' ')")} AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE t[1:120] || '…' END AS snippet FROM f""",
     "title_from_name": "SELECT doc_id, CASE WHEN length('指南' || source) >= 4 THEN '指南' || source END AS title FROM documents",

@@ -1,5 +1,6 @@
 """Text functions, sections and chunks against plain Python and stated examples."""
 
+import re
 import uuid
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docmill import rules
 from docmill.functions import sections, text
 
 
@@ -97,3 +99,33 @@ def test_hints_and_headings(spark):
 )
 def test_json_answers(spark, raw, answer):
     assert values(spark, text.json_answer, raw) == [answer]
+
+
+def folded(raw):
+    """Cleaning line by line, with the last kept line and the length of the block that is being skipped."""
+    lines = [" ".join(x.replace("\t", " ").replace("\xa0", " ").split(" ")) for x in raw.split("\n")]
+    lines = [y for x in lines if (y := re.sub(" +", " ", x).strip())]
+    pages, kept, skipped = re.compile("|".join(rules.PAGE_LINES)), [], 0
+    for x in lines:
+        if skipped and x not in rules.SKIP_ENDS and skipped < rules.SKIP_LINES:
+            skipped += 1
+        elif x == rules.SKIP_START:
+            skipped = 1
+        else:
+            skipped = 0
+            if not pages.fullmatch(x) and not (kept and x == kept[-1] and len(x) < 60):
+                kept.append(x)
+    return "\n".join(kept)
+
+
+LINE = st.sampled_from([rules.SKIP_START, rules.SKIP_START + "x", *rules.SKIP_ENDS[:3], "第 3 页", "1/2页", "a", "a ", "b\u2028c", "", " ", "y" * 60, "--- 7 ---"])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(LINE, max_size=14), min_size=20, max_size=20))
+def test_cleaning_against_a_fold(spark, texts):
+    """Blocks, page marks and repeats in any order; also blocks longer than what may be skipped, and another after one."""
+    long = [rules.SKIP_START, *["place"] * 398, "last", "first", rules.SKIP_START, "gone", "受理条件", "kept"]
+    raw = ["\n".join(t) for t in [*texts, long, long + long, ["x"] * 3000, [rules.SKIP_START] * 900]]
+    assert values(spark, text.cleaned, *raw) == [folded(t) for t in raw]
+    assert values(spark, text.cleaned, None, "\r\n") == ["", ""]
