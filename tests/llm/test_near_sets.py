@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from docmill.llm import near_sets, pipeline, simhash
+from docmill.llm.components import components
 
 
 def plain_set(text, words=5):
@@ -124,3 +125,35 @@ def test_crowded_shingles_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(near_sets, "CROWDED", crowded)
         monkeypatch.setattr(near_sets, "TURNS", turns)
         assert sorted(r["doc_id"] for r in near_sets.one_of_each(docs).collect()) == want
+
+
+def test_trie_pairs_join_what_is_within_the_budget(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 5))) for b in base] + base[:5]
+    rows = [(k, 10 + k % 3, f - 2**64 if f >= 2**63 else f) for k, f in enumerate(fps)]
+    pairs = near_sets.trie_pairs(spark.createDataFrame(rows, "key long, size long, fp long")).collect()
+    assert all(r["m"] == 10 + r["a"] % 3 and r["n"] == 10 + r["b"] % 3 for r in pairs)
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
+
+    def roots(links):
+        of = list(range(len(fps)))
+        for _ in fps:
+            for a, b in links:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    assert roots([(r["a"], r["b"]) for r in pairs]) == roots(near)
+
+
+def test_the_stage_goes_through_the_trie(spark, monkeypatch):
+    seen, links = [], near_sets.simhash.fingerprint_links
+    monkeypatch.setattr(near_sets.simhash, "fingerprint_links", lambda fps, *a: seen.append(fps.count()) or links(fps, *a))
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, text.upper() + " other words here")], "doc_id long, text string")
+    assert near_sets.one_of_each(docs).count() == 1 and seen and seen[0] >= 2
+
+
+def test_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert components(links, "a", "b").rdd.getNumPartitions() == 1
