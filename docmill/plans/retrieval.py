@@ -36,7 +36,7 @@ def literal(words: list[str]):
 
 def hits(spark: SparkSession, sf: str, k: int = 15) -> DataFrame:
     rows, asked = vectors(spark, sf)
-    best = search.top(search.cosine(rows, asked), k).join(rows.select("chunk_id", "doc_id"), "chunk_id")
+    best = search.nearest(rows, asked, k).join(rows.select("chunk_id", "doc_id"), "chunk_id")
     pick = lambda words, i: F.element_at(literal(words), (i % len(words) + 1).cast("int"))
     keyword = ((F.col("chunk_id") * 7) % 80).cast("double")
     return best.select(
@@ -119,24 +119,24 @@ def bm25_scores_strong(spark, sf):
 
 
 def cosine_topk(spark, sf):
-    return search.top(search.cosine(*vectors(spark, sf)), 4)
+    return search.nearest(*vectors(spark, sf), 4)
 
 
 def cosine_topk_dedupe(spark, sf):
     rows, asked = vectors(spark, sf)
-    pool = search.top(search.cosine(rows, asked), 20).drop("pos").join(rows.select("chunk_id", "doc_id", F.lit("").alias("section")), "chunk_id")
+    pool = search.nearest(rows, asked, 20).drop("pos").join(rows.select("chunk_id", "doc_id", F.lit("").alias("section")), "chunk_id")
     return search.first_of_section(pool, 4).select("question_id", "pos", "chunk_id", "doc_id", "score")
 
 
 def cosine_doc_filter_post(spark, sf):
     rows, asked = vectors(spark, sf)
-    pool = search.top(search.cosine(rows, asked), 20).drop("pos").join(rows.select("chunk_id", "doc_id"), "chunk_id")
+    pool = search.nearest(rows, asked, 20).drop("pos").join(rows.select("chunk_id", "doc_id"), "chunk_id")
     return search.top(pool.filter("doc_id = 3"), 4).select("question_id", "pos", "chunk_id", "score")
 
 
 def cosine_doc_filter_pre(spark, sf):
     rows, asked = vectors(spark, sf)
-    return search.top(search.cosine(rows.filter("doc_id = 3"), asked), 4)
+    return search.nearest(rows.filter("doc_id = 3"), asked, 4)
 
 
 def hash_embed_native(spark, sf):
