@@ -70,13 +70,13 @@ def reworked(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return numbered.mapInArrow(work, numbered.schema).toDF(*names)
 
 
-def kept_rows(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
+def kept_rows(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text", chars: int = 1_000_000) -> DataFrame:
     """The rows whose texts the task's function keeps; all columns, whatever their names, as they are."""
     column = f"c{rows.columns.index(text)}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = start()
-        for batch, texts in text_slices(batches, column):
+        for batch, texts in text_slices(batches, column, chars):
             yield batch.filter(pa.array(of(texts), pa.bool_()))
 
     return reworked(rows, work)

@@ -24,6 +24,7 @@ of the input, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import string
@@ -51,6 +52,8 @@ LONGEST = 24  # of a token read at once
 GRAMS = (4, 5, 6, 7, 8, 9)  # lengths of strings that can be landmarks
 SAMPLE = 12_000
 KEEP = 200_000  # tokens that a task remembers; then it begins anew, at the price of time
+CHARS = 250_000  # of texts whose tokens are held at once
+TRIPLES = 100_000  # of strings that are compared at once
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 STRIP = string.punctuation
 
@@ -84,6 +87,7 @@ def with_insertions(text: str) -> str:
     return " ".join(map(put, text.split()))
 
 
+@functools.cache
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the triples in a string of ``n`` characters, and their decays."""
     places = [(i, j, k) for i in range(n) for j, k in itertools.combinations(range(i + 1, min(n, i + SPAN)), 2)]
@@ -139,8 +143,9 @@ class Kernel:
         for n, rows in by_length.items():
             if n < 3 or not len(self.codes):
                 continue
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
+            step = max(1, TRIPLES // len(triples(n)[0]))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
                 row, code, weight = features([strings[i] for i in part])
                 length = np.sqrt(np.bincount(row, weight**2, len(part)))
                 place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
@@ -163,7 +168,8 @@ class Pooler:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}  # of a token without marks around it, its row
-        self.values = np.zeros((0, len(self.powers) * len(self.kernel.landmarks)), np.float32)
+        # room for some more than are kept: what isn't used yet takes no memory, and nothing is copied as it fills
+        self.values = np.empty((self.keep + self.keep // 4, len(self.powers) * len(self.kernel.landmarks)), np.float32)
 
     def learn(self, new: list[str]) -> None:
         """The sum of the similarities of each new token's strings, raised to each power once and not wherever it occurs."""
@@ -175,7 +181,7 @@ class Pooler:
         sizes = np.array([len(of) for of in lists], np.int64)
         start = len(self.rows)
         self.rows.update(zip(new, range(start, start + len(new))))
-        if len(self.rows) > len(self.values):  # room for twice as many; what isn't used yet takes no memory
+        if len(self.rows) > len(self.values):
             grown = np.empty((2 * len(self.rows), self.values.shape[1]), np.float32)
             grown[:start] = self.values[:start]
             self.values = grown
@@ -319,7 +325,7 @@ def pooled(rows: DataFrame, landmarks: list[str]) -> DataFrame:
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = Pooler(landmarks, POWERS, KEEP // len(POWERS))  # as many numbers as a scorer keeps
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, chars=CHARS):
             for read in (texts, [*map(with_insertions, texts)]):
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pooler.pool(read).tolist(), pa.list_(pa.float64()))], ["toxic", "trial", "x"])
 
@@ -370,12 +376,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of ``docs``; the score is from 0 to 1."""
-    return derived(docs.select("doc_id", "text"), "score double", lambda: (lambda score: lambda texts: [score(texts)])(model.scorer()))
+    return derived(docs.select("doc_id", "text"), "score double", lambda: (lambda score: lambda texts: [score(texts)])(model.scorer()), chars=CHARS)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose score is under one half, with all their columns."""
-    return kept_rows(docs, lambda: (lambda score: lambda texts: (score(texts) < 0.5).tolist())(model.scorer()))
+    return kept_rows(docs, lambda: (lambda score: lambda texts: (score(texts) < 0.5).tolist())(model.scorer()), chars=CHARS)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -33,6 +34,21 @@ def test_kernel_equals_direct_sums():
     assert np.allclose(got, [[plain_kernel(w, m) for m in landmarks] for w in words], atol=1e-6)
 
 
+def test_memory_of_many_strings_is_bounded():
+    rng = random.Random(1)
+    words = ["^" + "".join(rng.choices("abcdefgh", k=23)) for _ in range(4000)]
+    kernel, pooler = tox.Kernel(words[:40]), tox.Pooler(words[:40], (4,))
+    few = np.vstack([kernel.similarities(words[i : i + 500]) for i in range(0, 4000, 500)])
+    tracemalloc.start()
+    got = kernel.similarities(words)
+    kernel_mb = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert np.array_equal(got, few) and kernel_mb < 60
+    room = pooler.values
+    pooler.pool([" ".join(w[1:] for w in words)])
+    assert pooler.values is room  # not copied as it fills
+
+
 def test_query_equals_plain_sums(spark, tmp_path):
     """The whole query against documents' kernels summed string by string, with the model that it learns."""
     rng = random.Random(5)
