@@ -157,3 +157,31 @@ def test_the_stage_goes_through_the_trie(spark, monkeypatch):
 def test_few_links_take_few_tasks(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
     assert components(links, "a", "b").rdd.getNumPartitions() == 1
+
+
+def test_tables_of_nodes_have_one_row_a_node(spark, monkeypatch):
+    """What is joined with components and kept between turns is a row for each set, not for each shingle of it; a later
+    turn has no more shingles than the one before."""
+    rng = random.Random(5)
+    base = ["t%d" % i for i in range(120)]
+    rows = []
+    for i in range(50):
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = "y%d" % rng.randint(0, 10**6)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, written = {}, near_sets.Tables.written
+    monkeypatch.setattr(near_sets, "CROWDED", 0)
+
+    def counted(self, df, name):
+        out = written(self, df, name)
+        of_nodes = {"key", "prefix"} <= {*out.columns} or {"key", "gram"} <= {*out.columns}
+        made.update({name: (out.count(), sum(len(r["prefix"]) for r in out.collect() if "prefix" in out.columns))} if of_nodes else {})
+        return out
+
+    monkeypatch.setattr(near_sets.Tables, "written", counted)
+    assert sorted(r["doc_id"] for r in near_sets.one_of_each(docs).collect()) == plain_kept(rows)
+    assert made and all(n <= len(rows) for n, _ in made.values()), made
+    turns = [made[k][1] for k in sorted(made) if k.startswith("near-live")]
+    assert len(turns) == 2 and turns[1] <= turns[0]
