@@ -84,15 +84,22 @@ def kept_rows(rows: DataFrame, start: Callable[[], Callable[[list[str]], list[bo
 
 class Tables:
     """Parquet tables in the shared folder that the cluster names in ``spark.checkpoint.dir``, and their removal once no
-    plan reads them. What a job that broke off leaves is the folder's owner's to clear, as with checkpoints."""
+    plan reads them. What a job that broke off leaves is the folder's owner's to clear, as with checkpoints.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    ``files``: of a table, at most (none: as many as partitions). Each file costs executors without Hadoop's native
+    library several processes, started to set its permissions, so small tables should not be dealt over many."""
+
+    def __init__(self, spark: SparkSession, files: int | None = None):
+        self.spark, self.files, self.paths = spark, files, {}
+
+    def few(self, df: DataFrame) -> DataFrame:
+        """``df`` in no more partitions than a table's files."""
+        return df.coalesce(self.files) if self.files else df
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table, read back."""
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        self.few(df).write.option("compression", "zstd").parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.parquet(path)
 

@@ -51,6 +51,7 @@ WEIGHTS = (0.0, 0.5)  # powers of how rare a class is, to choose from
 LONGEST = 24  # of a token read at once
 GRAMS = (4, 5, 6, 7, 8, 9)  # lengths of strings that can be landmarks
 SAMPLE = 12_000
+ROWS_OF_FILE = 500  # of the sample, at least, so that many partitions don't leave a file and a cold memory of tokens each
 KEEP = 200_000  # tokens that a task remembers; then it begins anew, at the price of time
 CHARS = 250_000  # of texts whose tokens are held at once
 TRIPLES = 100_000  # of strings that are compared at once
@@ -160,16 +161,18 @@ class Kernel:
 
 
 class Pooler:
-    """Sums of documents' kernels with the landmarks; keeps what it knows of tokens while a task runs."""
+    """Sums of documents' kernels with the landmarks; keeps what it knows of tokens while a task runs. With ``weights`` of the
+    landmarks it keeps one number a token and gives one column, the weighted sum."""
 
-    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = KEEP):
-        self.kernel, self.powers, self.keep = Kernel(landmarks), powers, keep
+    def __init__(self, landmarks: list[str], powers: tuple[int, ...], keep: int = KEEP, weights: np.ndarray | None = None):
+        self.kernel, self.powers, self.keep, self.weights = Kernel(landmarks), powers, keep, weights
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}  # of a token without marks around it, its row
         # room for some more than are kept: what isn't used yet takes no memory, and nothing is copied as it fills
-        self.values = np.empty((self.keep + self.keep // 4, len(self.powers) * len(self.kernel.landmarks)), np.float32)
+        columns, kind = (len(self.powers) * len(self.kernel.landmarks), np.float32) if self.weights is None else (1, np.float64)
+        self.values = np.empty((self.keep + self.keep // 4, columns), kind)
 
     def learn(self, new: list[str]) -> None:
         """The sum of the similarities of each new token's strings, raised to each power once and not wherever it occurs."""
@@ -182,17 +185,20 @@ class Pooler:
         start = len(self.rows)
         self.rows.update(zip(new, range(start, start + len(new))))
         if len(self.rows) > len(self.values):
-            grown = np.empty((2 * len(self.rows), self.values.shape[1]), np.float32)
+            grown = np.empty((2 * len(self.rows), self.values.shape[1]), self.values.dtype)
             grown[:start] = self.values[:start]
             self.values = grown
         told = self.values[start : start + len(new)]
+        weighed, told = told, told if self.weights is None else np.empty((len(new), near.shape[1]), np.float32)
         told[:] = 0
         held = np.flatnonzero(sizes)
         if len(held):
             told[held] = np.add.reduceat(near[flat], (np.cumsum(sizes) - sizes)[held], axis=0)
+        if self.weights is not None:
+            weighed[:, 0] = told @ self.weights
 
     def pool(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: for each power, a column for each landmark."""
+        """A row for each text: for each power, a column for each landmark, or their weighted sum."""
         if len(self.rows) > self.keep:
             self.forget()
         found = [tokens(x) for x in texts]
@@ -221,12 +227,12 @@ class Model:
     weights: np.ndarray  # of summed kernels; the whitening is multiplied in
     bias: float
 
-    def scores(self, summed: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(2 * (summed @ self.weights + self.bias), -50, 50)))
+    def scores(self, weighed: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(2 * (weighed + self.bias), -50, 50)))
 
     def scorer(self):
-        pooler = Pooler(self.landmarks, (self.power,))
-        return lambda texts: self.scores(pooler.pool(texts))
+        pooler = Pooler(self.landmarks, (self.power,), weights=self.weights)
+        return lambda texts: self.scores(pooler.pool(texts)[:, 0])
 
 
 def one_of_copies(rows: DataFrame, sketches: int = 4) -> DataFrame:
@@ -342,7 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     chosen = chosen.withColumn("trial", F.crc32(F.col("doc_id").cast("string")) % 5 == 4)
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
     rows = met.groupBy("doc_id", "toxic", "trial").agg(F.min("text").alias("text")).select("text", "toxic", "trial")
-    rows = checkpointed(one_of_copies(rows))
+    rows = checkpointed(one_of_copies(rows).coalesce(1 + sample // ROWS_OF_FILE))
     known = rows.filter(~F.col("trial"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):

@@ -185,3 +185,34 @@ def test_tables_of_nodes_have_one_row_a_node(spark, monkeypatch):
     assert made and all(n <= len(rows) for n, _ in made.values()), made
     turns = [made[k][1] for k in sorted(made) if k.startswith("near-live")]
     assert len(turns) == 2 and turns[1] <= turns[0]
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """Many partitions of a small table don't become a file each."""
+    rows, _ = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+    files, written, kept = {}, near_sets.Tables.written, near_sets.checkpointed
+
+    def counted(self, df, name):
+        out = written(self, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    def checkpointed(df):
+        out = kept(df)
+        files[str(out.columns)] = out.rdd.getNumPartitions()
+        return out
+
+    monkeypatch.setattr(near_sets.Tables, "written", counted)
+    monkeypatch.setattr(near_sets, "checkpointed", checkpointed)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = near_sets.one_of_each(docs)
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == sorted((k is None, k or 0) for k in plain_kept(rows))
+        assert out.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(files) > 8 and max(files.values()) <= 1, files

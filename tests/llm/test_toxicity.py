@@ -49,6 +49,19 @@ def test_memory_of_many_strings_is_bounded():
     assert pooler.values is room  # not copied as it fills
 
 
+def test_scorer_keeps_one_number_a_token():
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(200)) for _ in range(30)]
+    landmarks = ["^abc", "bcdef", "hgfe"]
+    weights = np.array([0.5, -2.0, 1.25])
+    one = tox.Pooler(landmarks, (4,), weights=weights)
+    got = [float(x) for at in range(0, 30, 7) for x in one.pool(texts[at : at + 7])[:, 0]]
+    assert np.allclose(got, tox.Pooler(landmarks, (4,)).pool(texts) @ weights, atol=1e-5)
+    model = tox.Model(landmarks, 4, weights, 0.1)
+    read = next(c.cell_contents for c in model.scorer().__closure__ if isinstance(c.cell_contents, tox.Pooler))
+    assert read.values.nbytes <= 10 * tox.KEEP
+
+
 def test_query_equals_plain_sums(spark, tmp_path):
     """The whole query against documents' kernels summed string by string, with the model that it learns."""
     rng = random.Random(5)
