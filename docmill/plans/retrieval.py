@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill import rules
 from docmill.functions.text import expanded, tokens
 from docmill.operators import answers, extraction, ranking, retrieval, search
-from docmill.session import checkpointed, table
+from docmill.session import table
 
 #: Fixed values of the queries: sections and questions that rows of ``embeddings`` stand for.
 SECTIONS = ["材料清单", "办理流程", "实施依据", "基础信息", "受理条件", "设定依据", "收费标准", "咨询方式"]
@@ -110,11 +110,11 @@ def doc_len_stats(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    return search.top(search.bm25(chunks(spark, sf), questions(spark, sf)), 4)
+    return search.bm25_top(chunks(spark, sf), questions(spark, sf), 4)
 
 
 def bm25_scores_strong(spark, sf):
-    found = search.bm25(chunks(spark, sf), questions(spark, sf)).groupBy("question_id").agg(F.max("score").alias("best"))
+    found = search.bm25_top(chunks(spark, sf), questions(spark, sf), 1).select("question_id", F.col("score").alias("best"))
     return found.withColumn("strong", F.col("best") >= rules.DEFAULTS.keyword_min)
 
 
@@ -145,9 +145,9 @@ def hash_embed_native(spark, sf):
 
 
 def with_vectors(spark, sf):
-    rows, asked = chunks(spark, sf), questions(spark, sf)
-    rows = checkpointed(rows.join(search.hashed_vectors(rows, "chunk_id", DIMS), "chunk_id"))  # read several times
-    return rows, asked.join(search.hashed_vectors(asked, "question_id", DIMS), "question_id")
+    """Vectors are made where they are read, which search does once for all chunks: kept, they would take disk."""
+    vectored = lambda rows: rows.withColumn("embedding", search.hashed_vector(F.col("text"), DIMS))
+    return vectored(chunks(spark, sf).filter("chunk_id is not null")), vectored(questions(spark, sf).filter("question_id is not null"))
 
 
 def hybrid_exact(spark, sf):
@@ -231,7 +231,7 @@ def guide_chunks(spark, sf) -> DataFrame:
     rows = table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"), number.alias("doc_id"), name.alias("doc_name"), section.alias("section"), place.alias("chunk_index"), F.concat_ws("\n", name, section, "text").alias("text")
     )
-    return checkpointed(rows.withColumn("embedding", search.hashed_vector(F.col("text"), DIMS)))  # read many times
+    return rows.withColumn("embedding", search.hashed_vector(F.col("text"), DIMS))  # as in with_vectors
 
 
 def asked_for(spark, sf) -> DataFrame:
