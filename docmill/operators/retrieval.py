@@ -29,19 +29,28 @@ def retrieve(
     asked = questions.select("question_id", F.col("text").alias("question"), (expanded(F.col("text")) if expand else F.col("text")).alias("text"))
     wanted = asked.join(embed(asked.select("question_id", "text"), "question_id"), "question_id")
     found = search.hybrid_candidates(chunks, wanted, k, p=p)
-    hits = found.join(asked.select("question_id", "question"), "question_id").join(chunks.select("chunk_id", "doc_name", "text"), "chunk_id")
+    told = search.among(chunks.select("chunk_id", "doc_name", "text"), "chunk_id", found)  # so that other texts don't move
+    hits = found.join(asked.select("question_id", "question"), "question_id").join(told, "chunk_id")
     return ranking.rerank(hits, p) if rerank else hits
 
 
-def within_first(hits: DataFrame, chunks: DataFrame, pool: int, embed: Embed = search.hashed_vectors, p: Params = DEFAULTS) -> DataFrame:
+def of_documents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of the documents that have hits, stored, as they are few and read many times; texts and vectors of other
+    documents are not read on, nor made."""
+    return checkpointed(search.among(chunks, "doc_id", hits))
+
+
+def within_first(hits: DataFrame, chunks: DataFrame, pool: int, embed: Embed = search.hashed_vectors, p: Params = DEFAULTS, inside: DataFrame | None = None) -> DataFrame:
     """For every question the best hits inside its first hit's document, searched for by the document's name and the names
-    of structured sections: joins on the document and on document and token, so that other chunks are not compared."""
+    of structured sections: joins on the document and on document and token, so that other chunks are not compared.
+    ``inside``: the chunks of these documents, if they are there already."""
+    inside = of_documents(hits, chunks) if inside is None else inside
     first = hits.groupBy("question_id").agg(F.min_by(F.struct("doc_id", "doc_name", "question"), "pos").alias("x")).select("question_id", "x.*")
     text = F.concat_ws(" ", "doc_name", *map(F.lit, rules.STRUCTURED_SECTIONS))
     asked = first.select("doc_id", text.alias("text")).distinct()  # one search for each document
     asked = asked.join(embed(asked, "doc_id").withColumnRenamed("embedding", "wanted"), "doc_id")
-    rows = chunks.join(asked.select("doc_id", "wanted"), "doc_id")
-    keyword = search.bm25(chunks, asked.select(F.col("doc_id").alias("question_id"), "doc_id", "text"), p, within="doc_id").select(F.col("question_id").alias("doc_id"), "chunk_id", F.col("score").alias("keyword_score"))
+    rows = inside.join(asked.select("doc_id", "wanted"), "doc_id")
+    keyword = search.bm25(chunks, asked.select(F.col("doc_id").alias("question_id"), "doc_id", "text"), p, within="doc_id", rows=inside).select(F.col("question_id").alias("doc_id"), "chunk_id", F.col("score").alias("keyword_score"))
     scored = rows.join(keyword, ["doc_id", "chunk_id"], "left").fillna({"keyword_score": 0.0})
     scored = scored.withColumn("vector_score", F.round(search.dot(F.col("embedding"), F.col("wanted")), 6))
     strong = F.max("keyword_score").over(Window.partitionBy("doc_id")) >= p.keyword_min
@@ -49,15 +58,17 @@ def within_first(hits: DataFrame, chunks: DataFrame, pool: int, embed: Embed = s
     return search.top(first.join(scored, "doc_id"), pool)
 
 
-def enriched(hits: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, embed: Embed = search.hashed_vectors, p: Params = DEFAULTS) -> DataFrame:
+def enriched(hits: DataFrame, chunks: DataFrame, k: int = DEFAULTS.top_k, embed: Embed = search.hashed_vectors, p: Params = DEFAULTS, inside: DataFrame | None = None) -> DataFrame:
     """Hits of questions that ask for structured facts, completed by the structured sections of their first document and
-    by the rest of its tables of materials; hits of other questions as they are. For hits that passed the gate."""
+    by the rest of its tables of materials; hits of other questions as they are. For hits that passed the gate.
+    ``inside``: the chunks of the hits' documents, if they are there already."""
     meant = any_in(F.col("question"), rules.STRUCTURED_INTENT)
     hits = checkpointed(hits)  # k rows a question, read many times below
     some = hits.filter(meant)
-    inside = checkpointed(within_first(some, chunks, max(8 * k, 48), embed, p).select(*hits.columns))
-    more = checkpointed(ranking.enrich(some, inside, k, p))
-    return answers.with_siblings(more, chunks).unionByName(hits.filter(~meant).withColumn("is_aux", F.lit(False)))
+    inside = of_documents(some, chunks) if inside is None else inside
+    found = checkpointed(within_first(some, chunks, max(8 * k, 48), embed, p, inside).select(*hits.columns))
+    more = checkpointed(ranking.enrich(some, found, k, p))
+    return answers.with_siblings(more, inside).unionByName(hits.filter(~meant).withColumn("is_aux", F.lit(False)))
 
 
 def answered(
@@ -73,10 +84,11 @@ def answered(
     questions = questions.filter("question_id is not null")
     hits = checkpointed(retrieve(chunks, questions, k, embed, p=p))  # k rows a question
     good = hits.filter(ranking.is_relevant(p))
+    inside = of_documents(good, chunks)
     routed = ranking.routes(questions, hits, degraded, p)
     vague = routed.filter("route = 'guide'").select("question_id")
-    guides = checkpointed(answers.guide_answers(good.join(vague, "question_id", "left_semi"), chunks))
-    full = checkpointed(enriched(good.join(guides, "question_id", "left_anti"), chunks, k, embed, p))
+    guides = checkpointed(answers.guide_answers(good.join(vague, "question_id", "left_semi"), inside))
+    full = checkpointed(enriched(good.join(guides, "question_id", "left_anti"), chunks, k, embed, p, inside))
     found = extraction.materials(full)
     found = found.select("question_id", F.struct(*[F.col(f) for f in [*records.TEXTS, *records.ITEMS, *records.LISTS]]).alias("found"))
     said = extraction.extractive_answers(ranking.shown(full)).withColumnRenamed("answer", "said")
